@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import textops as T
 from .common import id_crc, prepare
@@ -278,7 +279,7 @@ def score(docs: DataFrame, net: Network | None) -> DataFrame:
     spark = docs.sparkSession
     prepare(spark)
     shared = spark.sparkContext.broadcast(net)
-    schema = docs.schema.add("score", "double")
+    schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
 
     def run(batches):
         for batch in batches:
