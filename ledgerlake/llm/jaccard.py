@@ -146,28 +146,34 @@ def class_links(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
         .withColumn("shared", F.size("order"))
         .where(F.col("shared") * 100 >= F.col("size") * percent)
         .withColumn("posted", F.expr(f"shared - cast(ceil({percent} * size / 100.0) as int) + 1"))
-        .select("sig", "size", (F.col("shared") / F.col("size")).alias("score"), F.expr("transform(slice(order, 1, greatest(posted, 0)), x -> x.s)").alias("prefix"))
+        .select("sig", "size", (F.col("size") - F.col("shared")).alias("lone"), (F.col("shared") / F.col("size")).alias("score"), F.expr("transform(slice(order, 1, greatest(posted, 0)), x -> x.s)").alias("prefix"))
     )
     own = save(own, "prefixes")
-    postings = own.select("sig", "size", "score", F.explode("prefix").alias("s"))
-    hubs = postings.groupBy("s").agg(F.max(F.struct("score", F.col("sig").alias("hub"), F.col("size").alias("hub_size"))).alias("h")).select("s", "h.hub", "h.hub_size")
-    fits = lambda a, b: (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
-    star = postings.join(hubs, "s").where((F.col("sig") != F.col("hub")) & fits(F.col("size"), F.col("hub_size"))).select(F.least("sig", "hub").alias("u"), F.greatest("sig", "hub").alias("v")).distinct()
+
+    def may(a: str, b: str):
+        """Enough is left behind a common shingle: at the first one of a pair that links this always holds."""
+        x, y = F.col(f"size{a}"), F.col(f"size{b}")
+        return (100 + percent) * F.least(x - F.col(f"at{a}"), y - F.col(f"at{b}")) >= percent * (x + y)
+
+    post = lambda d, *keep: d.select(*keep, "size", "lone", F.posexplode("prefix").alias("k", "s")).withColumn("at", F.col("lone") + F.col("k")).drop("lone", "k")
+    postings = post(own, "sig", "score")
+    hubs = postings.groupBy("s").agg(F.max(F.struct("score", "sig", "size", "at")).alias("h")).select("s", F.col("h.sig").alias("hub"), F.col("h.size").alias("size_h"), F.col("h.at").alias("at_h"))
+    star = postings.join(hubs, "s").where((F.col("sig") != F.col("hub")) & may("", "_h")).select(F.least("sig", "hub").alias("u"), F.greatest("sig", "hub").alias("v")).distinct()
     first = save(_verified(star, classes, percent), "star")
     comps = components(first)
     grouped = (
         own.join(comps.withColumnRenamed("node", "sig"), "sig", "left")
         .withColumn("comp", F.coalesce("comp", "sig"))
-        .groupBy("prefix", "size", "comp")
+        .groupBy("prefix", "size", "lone", "comp")
         .agg(F.collect_set("sig").alias("members"))
-        .withColumn("gid", F.xxhash64("prefix", "size", "comp"))
+        .withColumn("gid", F.xxhash64("prefix", "size", "lone", "comp"))
     )
     grouped = save(grouped, "groups")
-    tokens = grouped.select("gid", "size", "comp", F.explode("prefix").alias("s"))
+    tokens = post(grouped, "gid", "comp")
     mixed = tokens.groupBy("s").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("s")
     left = tokens.join(mixed, "s")
-    right = left.select("s", F.col("gid").alias("gid2"), F.col("size").alias("size2"), F.col("comp").alias("comp2"))
-    cross = left.join(right, "s").where((F.col("comp") < F.col("comp2")) & fits(F.col("size"), F.col("size2"))).select("gid", "gid2").distinct()
+    right = left.select("s", F.col("gid").alias("gid2"), F.col("size").alias("size_2"), F.col("at").alias("at_2"), F.col("comp").alias("comp2"))
+    cross = left.join(right, "s").where((F.col("comp") < F.col("comp2")) & may("", "_2")).select("gid", "gid2").distinct()
     members = grouped.select("gid", F.explode("members").alias("m"))
     pairs = cross.join(members.withColumnRenamed("m", "u"), "gid").join(members.select(F.col("gid").alias("gid2"), F.col("m").alias("v")), "gid2").select("u", "v").distinct()
     second = save(_verified(pairs, classes, percent), "cross")
