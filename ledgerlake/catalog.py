@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .plans import panel, retrieval
+
+QUERIES = panel.QUERIES | retrieval.QUERIES
+ORACLES = panel.ORACLES | retrieval.ORACLES
