@@ -2,8 +2,8 @@
 
 Terms are maximal runs of letters and digits, lower case. The lexicon holds the terms whose document frequency lies in
 a band of the corpus, so of inverse document frequency too. REPEATS random permutations of the lexicon each split it into
-four subsets that get fewer terms by a factor of four; for each subset a text's distinct terms in it are sorted and
-hashed. A fingerprint lists those hashes ("-": no term of the subset), or the hash of the text if no term is in the band.
+four subsets that get fewer terms by a factor of four; for each subset a text's distinct terms in it are hashed in a
+canonical way (see `_level`). A fingerprint lists those hashes ("-": no term of the subset), or the hash of the text if no term is in the band.
 Likeness is the share of equal hashes among the subsets that have terms in either text; equal fingerprints have 1.
 
 The band starts at LOW of all documents, so the lexicon has at most (mean number of distinct terms of a document) / LOW
@@ -41,26 +41,18 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     return df.where((F.col("df") >= max(2.0, low * n)) & (F.col("df") <= max(2.0, high * n))).select("term")
 
 
-def _level(mixed: F.Column, j: int) -> F.Column:
-    """Hash of the terms with 2 j or 2 j + 1 trailing zero bits; the last level takes all that have more."""
+def _level(r: int, j: int) -> F.Column:
+    """Hash of the terms whose hash of repeat r has 2 j or 2 j + 1 trailing zero bits; the last level takes all that have more.
 
-    def own(x: F.Column) -> F.Column:
-        low = x.bitwiseAND((1 << 2 * j) - 1) == 0
-        return low if j == LEVELS else low & (x.bitwiseAND((1 << 2 * j + 2) - 1) != 0)
-
-    found = F.filter(mixed, own)
-    return F.when(F.size(found) > 0, F.substring(F.hex(F.xxhash64(found)), -8, 8))
-
-
-def _repeat(terms: F.Column, r: int) -> F.Column:
-    mixed = F.sort_array(F.transform(terms, lambda h: F.xxhash64(h, F.lit(r))))
-    # the outer transform names the sorted terms, so that they are made once for all levels
-    return F.get(F.transform(F.array(mixed), lambda m: F.array(*(_level(m, j) for j in range(1, LEVELS + 1)))), 0)
+    The exclusive-or of the hashes of distinct terms is one and the same for any order of them, as the hash of the sorted
+    terms is; so terms are hashed as they come and nothing is sorted or held together.
+    """
+    x = F.col(f"h{r}")
+    own = x.bitwiseAND((1 << 2 * j) - 1) == 0
+    return F.bit_xor(F.when(own if j == LEVELS else own & (x.bitwiseAND((1 << 2 * j + 2) - 1) != 0), x)).alias(f"s{r}_{j}")
 
 
-def subset_hashes(terms: F.Column) -> F.Column:
-    """One hash for each repeat and level, null where no term falls into that subset."""
-    return F.concat(*(_repeat(terms, r) for r in range(REPEATS)))
+_SUBSETS = [(r, j) for r in range(REPEATS) for j in range(1, LEVELS + 1)]
 
 
 def likeness(a: F.Column, b: F.Column) -> F.Column:
@@ -104,11 +96,14 @@ def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataF
     x = x.withColumn("edited", F.when(~F.col("halo"), edited))
     both = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t"))))
     v = x.select("part", "at", "halo", "doc_id", "n_chars", both.alias("v")).where("v.t is not null")
-    v = v.select("part", "at", "halo", "doc_id", "n_chars", "v.kind", F.sha2(F.col("v.t"), 256).alias("sha"), F.explode_outer(term_hashes(F.col("v.t"))).alias("term"))
-    v = v.join(F.broadcast(lex.withColumn("known", F.lit(True))), "term", "left")
-    terms = v.groupBy("part", "at", "kind").agg(F.first("halo").alias("halo"), F.first("doc_id").alias("doc_id"), F.first("n_chars").alias("n_chars"), F.first("sha").alias("sha"), F.collect_set(F.when(F.col("known"), F.col("term"))).alias("terms"))
-    print_ = F.when(F.size("terms") == 0, F.concat(F.lit("t"), F.substring("sha", 1, 16))).otherwise(F.array_join(subset_hashes(F.col("terms")), ".", "-"))
-    texts = terms.withColumn("fp", print_)
+    of_text = ["part", "at", "kind", "halo", "doc_id", "n_chars", "sha"]
+    v = v.select("part", "at", "halo", "doc_id", "n_chars", "v.kind", F.sha2(F.col("v.t"), 256).alias("sha"), F.posexplode_outer(term_hashes(F.col("v.t"))).alias("k", "term"))
+    # a text's first term stays whether it is in the band or not, so that no text is lost
+    v = v.join(F.broadcast(lex.withColumn("known", F.lit(True))), "term", "left").where("known or k is null or k = 0")
+    v = v.select(*of_text, F.when(F.col("known"), 1).alias("one"), *(F.when(F.col("known"), F.xxhash64("term", F.lit(r))).alias(f"h{r}") for r in range(REPEATS)))
+    terms = v.groupBy(*of_text).agg(F.count("one").alias("n_terms"), *(_level(r, j) for r, j in _SUBSETS))
+    hashes = F.concat_ws(".", *(F.coalesce(F.substring(F.hex(f"s{r}_{j}"), -8, 8), F.lit("-")) for r, j in _SUBSETS))
+    texts = terms.select(*of_text, F.when(F.col("n_terms") == 0, F.concat(F.lit("t"), F.substring("sha", 1, 16))).otherwise(hashes).alias("fp"))
     one = texts.groupBy("part", "at").agg(
         F.first("halo").alias("halo"),
         F.first("doc_id").alias("doc_id"),
