@@ -28,7 +28,7 @@ SAMPLE, BITS = 400, 16
 #: Trigrams are not independent: the mean log ratio counts as that of TEMPER trigrams at most.
 TEMPER, SMOOTH = 60.0, 20.0
 #: How much less likely, in nats, a text with letters is to be of no known language.
-MARGIN = 6.0
+MARGIN = 15.0
 UNKNOWN = "und"
 
 
@@ -61,7 +61,7 @@ def train(texts: list[str], labels: list[str], languages: list[str]) -> np.ndarr
         counts.append(c)
     even = 1.0 / max(1, used.sum())
     for k, c in enumerate(counts):
-        p = (c + 0.5) / (c.sum() + 0.5 * (1 << BITS))
+        p = (c + 0.02) / (c.sum() + 0.02 * (1 << BITS))
         out[:, k] = np.log(p / even)
     return out
 
