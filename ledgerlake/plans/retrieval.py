@@ -2,5 +2,210 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import columns as C
+from ..sources.tables import parquet
+
+
+def fold_text(spark, d):
+    return parquet(spark, d, "documents").select("doc_id", F.md5(C.fold(F.col("text"))).alias("folded"))
+
+
+#: How an amount is printed, by remainder of its key.
+_STYLES = ["{}", "({})", "-", "x{}", "{},5"]
+
+
+def parse_amounts(spark, d):
+    o = parquet(spark, d, "orders").withColumn("amount", F.floor("o_totalprice"))
+    k, n = F.col("o_orderkey") % 5, F.format_number("amount", 0)
+    cell = F.when(k == 0, n).when(k == 1, F.concat(F.lit("("), F.translate(n, ",", "."), F.lit(")"))).when(k == 2, "-").when(k == 3, F.concat(F.lit("V."), n)).otherwise(F.concat(F.col("amount").cast("string"), F.lit(",5")))
+    return o.select("o_orderkey", C.parse_amount(cell).alias("value"))
+
+
+def html_tables(text: F.Column) -> F.Column:
+    return F.regexp_extract_all(text, F.lit(r"(?is)<table.*?</table>"), F.lit(0))
+
+
+def html_table_roundtrip(spark, d):
+    """Nations as rows of one table for each region, written as HTML and read back."""
+    cell = lambda c: F.concat(F.lit("<td>"), F.col(c).cast("string"), F.lit("</td>"))
+    rows = parquet(spark, d, "nation").withColumn("tr", F.concat(F.lit("<tr>"), cell("n_nationkey"), cell("n_name"), F.lit("</tr>")))
+    pages = rows.groupBy("n_regionkey").agg(F.concat(F.lit("<p>x</p><table>"), F.array_join(F.sort_array(F.collect_list("tr")), ""), F.lit("</table>")).alias("html"))
+    tr = pages.select("n_regionkey", F.explode(html_tables(F.col("html"))).alias("t")).select("n_regionkey", F.explode(F.regexp_extract_all("t", F.lit(r"(?is)<tr.*?</tr>"), F.lit(0))).alias("tr"))
+    td = tr.select("n_regionkey", F.transform(F.regexp_extract_all("tr", F.lit(r"(?is)<td[^>]*>(.*?)</td>"), F.lit(1)), lambda x: F.trim(x)).alias("c"))
+    return td.select("n_regionkey", C.parse_amount(F.col("c")[0]).cast("int").alias("n_nationkey"), F.col("c")[1].alias("n_name"))
+
+
+def chrome_lines(spark, d):
+    """Lines that many documents share, digits masked."""
+    lines = parquet(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(r"[A-Za-z]"))
+    keyed = lines.select("doc_id", F.lower(F.regexp_replace("line", r"[0-9]+", "#")).alias("key")).distinct()
+    return keyed.groupBy("key").agg(F.count(F.lit(1)).alias("docs")).where("docs >= 5").select(F.md5("key").alias("line"), "docs")
+
+
+def page_digit_share(spark, d):
+    share = C.digit_share(F.col("text"))
+    x = parquet(spark, d, "documents").select("doc_id", F.round(share, 6).alias("share"))
+    return x.withColumn("kind", F.when(F.col("share") > 0.35, "numeric").when(F.col("share") > 0.10, "table").otherwise("text"))
+
+
+def chunk_overlap(spark, d):
+    x = parquet(spark, d, "documents").select("doc_id", F.filter(F.split("text", r"[ \n\t\r]+"), lambda w: w != "").alias("w")).where(F.size("w") > 0)
+    x = x.select("doc_id", F.posexplode(C.chunks(F.col("w"))).alias("chunk", "words"))
+    return x.select("doc_id", "chunk", F.size("words").alias("n"), F.md5(F.array_join("words", " ")).alias("digest"))
+
+
+def section_carry_forward(spark, d):
+    """The last user turn before each turn of a conversation."""
+    c = parquet(spark, d, "conversations")
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    return c.select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.col("turn")), True).over(w).alias("section"))
+
+
+def term_counts(spark, d) -> DataFrame:
+    """doc_id, term, tf of single words and pairs of neighbours; pairs are made per document, before any shuffle."""
+    x = parquet(spark, d, "documents").select("doc_id", C.tokens(F.col("text")).alias("t"))
+    pairs = F.when(F.size("t") > 1, F.zip_with(F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(1))), F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
+    return x.select("doc_id", F.explode(F.concat("t", pairs)).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def tfidf(spark, d) -> DataFrame:
+    """doc_id, term, weight: (1 + ln tf)(ln((1 + n) / (1 + df)) + 1), each document of length one."""
+    tf = term_counts(spark, d)
+    n = parquet(spark, d, "documents").select(F.count(F.lit(1)).alias("n"))
+    idf = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("term", (F.ln((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1).alias("idf"))  # n: one row
+    raw = tf.join(idf, "term").select("doc_id", "term", ((1 + F.ln("tf")) * F.col("idf")).alias("w"))
+    norm = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return raw.join(norm, "doc_id").select("doc_id", "term", (F.col("w") / F.col("norm")).alias("weight"), "w")
+
+
+def tfidf_weights(spark, d):
+    return tfidf(spark, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("terms"), F.round(F.max("weight"), 6).alias("top"), F.round(F.sum("weight"), 4).alias("total"))
+
+
+QUESTION = ["the", "of", "the and"]
+
+
+def lexical_scores(spark, d):
+    q = spark.createDataFrame([(t,) for t in QUESTION], "term string")
+    x = tfidf(spark, d).join(F.broadcast(q), "term")  # the words of one question
+    return x.groupBy("doc_id").agg(F.round(F.sum("weight"), 8).alias("score")).where("score > 0")
+
+
+def lexical_topk(spark, d):
+    return lexical_scores(spark, d).orderBy(F.desc("score"), "doc_id").limit(30)
+
+
+def dense_scores(spark, d, query_id: int = 0):
+    e = parquet(spark, d, "embeddings")
+    q = e.where(F.col("vec_id") == query_id).select(F.col("embedding").alias("q")).limit(1)
+    return e.where(F.col("vec_id") != query_id).crossJoin(F.broadcast(q)).select(F.col("vec_id").alias("doc_id"), F.round(C.dot(F.col("embedding"), F.col("q")), 8).alias("score"))  # q: one row
+
+
+def dense_topk(spark, d):
+    return dense_scores(spark, d).orderBy(F.desc("score"), "doc_id").limit(30)
+
+
+def fuse(*lists: DataFrame, k: int = 60) -> DataFrame:
+    """Sum of 1 / (k + rank) over ranked lists (doc_id, score) of at most a few dozen rows."""
+    ranked = [x.select("doc_id", (1.0 / (k + F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")))).alias("s")) for x in lists]
+    out = ranked[0]
+    for x in ranked[1:]:
+        out = out.unionByName(x)
+    return out.groupBy("doc_id").agg(F.round(F.sum("s"), 8).alias("score"))
+
+
+def hybrid_rrf(spark, d):
+    return fuse(dense_topk(spark, d), lexical_topk(spark, d)).orderBy(F.desc("score"), "doc_id").limit(6)
+
+
+def retrieval_eval(spark, d, k: int = 6):
+    """Recall and mean reciprocal rank of four questions; a hit has the label of the question."""
+    e = parquet(spark, d, "embeddings")
+    q = e.where("vec_id < 4").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe"), F.col("label").alias("gold"))  # four rows
+    x = e.where("vec_id >= 4").crossJoin(F.broadcast(q)).select("q", "gold", "label", "vec_id", F.round(C.dot(F.col("embedding"), F.col("qe")), 8).alias("s"))
+    top = x.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "vec_id"))).where(F.col("rank") <= k)
+    best = top.groupBy("q").agg(F.min(F.when(F.col("label") == F.col("gold"), F.col("rank"))).alias("rank"))
+    return best.agg(F.round(F.avg(F.col("rank").isNotNull().cast("double")), 6).alias("recall"), F.round(F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"))
+
+
+def filled(claims: DataFrame, metrics: DataFrame) -> DataFrame:
+    """{{id}} in a text replaced by the metric's figure; claims(claim_id, text), metrics(id, shown)."""
+    refs = claims.select("claim_id", F.explode(F.regexp_extract_all("text", F.lit(r"\{\{([^{}]+)\}\}"), F.lit(1))).alias("id")).distinct()
+    found = refs.join(metrics, "id").groupBy("claim_id").agg(F.sort_array(F.collect_list(F.struct("id", "shown"))).alias("m"))
+    x = claims.join(found, "claim_id", "left")
+    text = F.aggregate(F.coalesce("m", F.array().cast("array<struct<id:string,shown:string>>")), F.col("text"), lambda t, m: F.replace(t, F.concat(F.lit("{{"), m["id"], F.lit("}}")), m["shown"]))
+    return x.select("claim_id", text.alias("text"))
+
+
+def _claims(spark, d):
+    c = parquet(spark, d, "customer")
+    ref = F.concat(F.lit("c"), F.col("c_custkey"), F.when(F.col("c_custkey") % 4 == 0, ".gone").otherwise(".balance"))
+    text = F.concat(F.lit("Balance is {{"), ref, F.lit("}}"), F.when(F.col("c_custkey") % 3 == 0, " or 12.5").otherwise(""), F.lit("."))
+    return c.select(F.col("c_custkey").alias("claim_id"), text.alias("text"))
+
+
+def _metrics(spark, d):
+    return parquet(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey"), F.lit(".balance")).alias("id"), F.col("c_nationkey").cast("string").alias("shown"))
+
+
+def placeholder_fill(spark, d):
+    return filled(_claims(spark, d), _metrics(spark, d))
+
+
+def claim_checks(spark, d):
+    """Problems of a claim: a metric nobody computed, a figure typed by hand."""
+    c = _claims(spark, d)
+    refs = c.select("claim_id", F.explode(F.regexp_extract_all("text", F.lit(r"\{\{([^{}]+)\}\}"), F.lit(1))).alias("id"))
+    unknown = refs.join(_metrics(spark, d), "id", "left_anti").select("claim_id", F.lit("unknown metric").alias("problem"))
+    bare = F.regexp_replace("text", r"\{\{[^{}]+\}\}", "")
+    typed = c.where(bare.rlike(r"[0-9]")).select("claim_id", F.lit("typed number").alias("problem"))
+    return unknown.unionByName(typed)
+
+
+def template_claims(spark, d):
+    """A sentence for each customer all of whose figures exist."""
+    o = parquet(spark, d, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "P").alias("p"), F.count_if(F.col("o_orderstatus") == "O").alias("o"))
+    return o.where("p > 0 and o > 0").select("o_custkey", F.format_string("%d open and %d pending", F.col("o"), F.col("p")).alias("text"))
+
+
+def citation_numbering(spark, d):
+    """Sources numbered by first use in reading order, for each conversation."""
+    c = parquet(spark, d, "conversations").select("conv_id", "turn", "role")
+    first = c.groupBy("conv_id", "role").agg(F.min("turn").alias("first"))
+    return first.select("conv_id", "role", F.dense_rank().over(Window.partitionBy("conv_id").orderBy("first", "role")).alias("number"))
+
+
+QUERIES = {f.__name__: f for f in (fold_text, parse_amounts, html_table_roundtrip, chrome_lines, page_digit_share, chunk_overlap, section_carry_forward, tfidf_weights, lexical_topk, dense_topk, hybrid_rrf, retrieval_eval, placeholder_fill, claim_checks, template_claims, citation_numbering)}
+
+_TOKENS = """t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS t FROM documents),
+terms AS (SELECT doc_id, unnest(t) AS term FROM t UNION ALL SELECT doc_id, unnest(list_transform(generate_series(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1])) FROM t WHERE len(t) > 1),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+raw AS (SELECT doc_id, tf.term, (1 + ln(tf)) * (ln((1.0::DOUBLE + (SELECT count(*) FROM documents)) / (1.0::DOUBLE + df)) + 1) AS w FROM tf JOIN df ON df.term = tf.term),
+weights AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM raw)"""
+_LEXICAL = _TOKENS + ", lexical AS (SELECT doc_id, round(sum(weight), 8) AS score FROM weights WHERE term IN ('the', 'of', 'the and') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 30)"
+_DOT = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE))"
+_DENSE = f"dense AS (SELECT a.vec_id AS doc_id, round({_DOT}, 8) AS score FROM embeddings a, embeddings b WHERE b.vec_id = 0 AND a.vec_id <> 0 ORDER BY 2 DESC, 1 LIMIT 30)"
+_CLAIM = "SELECT c_custkey AS claim_id, c_custkey % 4 = 0 AS gone, c_custkey % 3 = 0 AS typed, c_nationkey FROM customer"
+
+ORACLES = {
+    "parse_amounts": "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN floor(o_totalprice) WHEN 1 THEN -floor(o_totalprice) WHEN 2 THEN 0.0 WHEN 3 THEN NULL ELSE floor(o_totalprice) + 0.5 END AS value FROM orders",
+    "html_table_roundtrip": "SELECT n_regionkey, n_nationkey, n_name FROM nation",
+    "chrome_lines": "WITH l AS (SELECT DISTINCT doc_id, lower(regexp_replace(line, '[0-9]+', '#', 'g')) AS key FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_matches(line, '[A-Za-z]')) SELECT md5(key) AS line, count(*) AS docs FROM l GROUP BY key HAVING count(*) >= 5",
+    "page_digit_share": "WITH s AS (SELECT doc_id, round(length(regexp_replace(text, '[^0-9]', '', 'g')) / greatest(length(regexp_replace(text, '[^0-9]', '', 'g')) + length(regexp_replace(text, '[^\\p{L}]', '', 'g')), 1), 6) AS share FROM documents) SELECT doc_id, share, CASE WHEN share > 0.35 THEN 'numeric' WHEN share > 0.10 THEN 'table' ELSE 'text' END AS kind FROM s",
+    "chunk_overlap": "WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\n\\t\\r]+'), lambda x: x <> '') AS w FROM documents), k AS (SELECT *, len(w) AS n, CASE WHEN len(w) <= 380 THEN len(w) ELSE ceil(len(w) / ceil(len(w) / 300.0::DOUBLE))::BIGINT END AS step FROM w WHERE len(w) > 0), c AS (SELECT doc_id, w, step, n, unnest(generate_series(0, n - 1, step)) AS i FROM k) SELECT doc_id, CAST(i // step AS INTEGER) AS chunk, CAST(least(i + step, n) - greatest(i - 50, 0) AS INTEGER) AS n, md5(array_to_string(w[greatest(i - 50, 0) + 1 : least(i + step, n)], ' ')) AS digest FROM c",
+    "section_carry_forward": "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS section FROM conversations",
+    "tfidf_weights": f"WITH {_TOKENS} SELECT doc_id, count(*) AS terms, round(max(weight), 6) AS top, round(sum(weight), 4) AS total FROM weights GROUP BY 1",
+    "lexical_topk": f"WITH {_LEXICAL} SELECT * FROM lexical",
+    "dense_topk": f"WITH {_DENSE} SELECT * FROM dense",
+    "hybrid_rrf": f"WITH {_LEXICAL}, {_DENSE}, r AS (SELECT doc_id, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, doc_id)) AS s FROM lexical UNION ALL SELECT doc_id, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, doc_id)) FROM dense) SELECT doc_id, round(sum(s), 8) AS score FROM r GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 6",
+    "retrieval_eval": f"WITH x AS (SELECT b.vec_id AS q, b.label AS gold, a.label, a.vec_id, round({_DOT}, 8) AS s FROM embeddings a, embeddings b WHERE b.vec_id < 4 AND a.vec_id >= 4), k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, vec_id) AS rank FROM x), h AS (SELECT q, min(CASE WHEN label = gold THEN rank END) AS rank FROM k WHERE rank <= 6 GROUP BY 1) SELECT round(avg((rank IS NOT NULL)::INTEGER::DOUBLE), 6) AS recall, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 6) AS mrr FROM h",
+    "placeholder_fill": f"SELECT claim_id, 'Balance is ' || CASE WHEN gone THEN '{{{{c' || claim_id || '.gone}}}}' ELSE c_nationkey::VARCHAR END || CASE WHEN typed THEN ' or 12.5' ELSE '' END || '.' AS text FROM ({_CLAIM})",
+    "claim_checks": f"SELECT claim_id, 'unknown metric' AS problem FROM ({_CLAIM}) WHERE gone UNION ALL SELECT claim_id, 'typed number' FROM ({_CLAIM}) WHERE typed",
+    "template_claims": "SELECT o_custkey, count(*) FILTER (o_orderstatus = 'O') || ' open and ' || count(*) FILTER (o_orderstatus = 'P') || ' pending' AS text FROM orders GROUP BY 1 HAVING count(*) FILTER (o_orderstatus = 'O') > 0 AND count(*) FILTER (o_orderstatus = 'P') > 0",
+    "citation_numbering": "SELECT conv_id, role, CAST(dense_rank() OVER (PARTITION BY conv_id ORDER BY f, role) AS INTEGER) AS number FROM (SELECT conv_id, role, min(turn) AS f FROM conversations GROUP BY 1, 2)",
+    "fold_text": "SELECT doc_id, md5(trim(lower(regexp_replace(strip_accents(text), '\\s+', ' ', 'g')))) AS folded FROM documents",
+}

@@ -18,7 +18,7 @@ def text_tree(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataF
         F.col("path").alias("file"),
         F.element_at(parts, -4).alias("entity"),
         F.element_at(parts, -3).try_cast("int").alias("year"),
-        F.decode("content", F.lit("UTF-8")).alias("text"),
+        F.decode("content", "UTF-8").alias("text"),
         F.sha2("content", 256).alias("sha256"),
     )
 
