@@ -1,9 +1,10 @@
 """Operator 3, I-Match fingerprints, with DataFrame functions only.
 
 Terms are maximal runs of letters and digits, lower case. The lexicon holds the terms whose document frequency lies in
-a band of the corpus, so of inverse document frequency too. REPEATS random permutations of the lexicon each split it into
-four subsets that get fewer terms by a factor of four; for each subset a text's distinct terms in it are hashed in a
-canonical way (see `_level`). A fingerprint lists those hashes ("-": no term of the subset), or the hash of the text if no term is in the band.
+a band of the corpus, so of inverse document frequency too. REPEATS random permutations of the lexicon each hold four
+disjoint subsets that get fewer terms by a factor of four; a text's distinct terms in each subset are hashed as a set:
+the exclusive-or of their hashes, which like the hash of the sorted terms doesn't depend on their order. A fingerprint
+lists subset number and hash of the subsets that hold a term, or the hash of the text if none does.
 Likeness is the share of equal hashes among the subsets that have terms in either text; equal fingerprints have 1.
 
 The band starts at LOW of all documents, so the lexicon has at most (mean number of distinct terms of a document) / LOW
@@ -41,27 +42,20 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     return df.where((F.col("df") >= max(2.0, low * n)) & (F.col("df") <= max(2.0, high * n))).select("term")
 
 
-def _level(r: int, j: int) -> F.Column:
-    """Hash of the terms whose hash of repeat r has 2 j or 2 j + 1 trailing zero bits; the last level takes all that have more.
-
-    The exclusive-or of the hashes of distinct terms is one and the same for any order of them, as the hash of the sorted
-    terms is; so terms are hashed as they come and nothing is sorted or held together.
-    """
-    x = F.col(f"h{r}")
-    own = x.bitwiseAND((1 << 2 * j) - 1) == 0
-    return F.bit_xor(F.when(own if j == LEVELS else own & (x.bitwiseAND((1 << 2 * j + 2) - 1) != 0), x)).alias(f"s{r}_{j}")
-
-
-_SUBSETS = [(r, j) for r in range(REPEATS) for j in range(1, LEVELS + 1)]
+def _slot(first: F.Column, h: F.Column) -> F.Column:
+    """The subset of a term in one repeat: by pairs of trailing zero bits; most terms, with none, fall in no subset."""
+    level = F.lit(LEVELS - 1)
+    for j in range(LEVELS - 1, 0, -1):
+        level = F.when(h.bitwiseAND((1 << 2 * j + 2) - 1) != 0, j - 1).otherwise(level)
+    return F.when(first < 0, first).when(h.bitwiseAND(3) == 0, first + level)
 
 
 def likeness(a: F.Column, b: F.Column) -> F.Column:
     """Of two fingerprints: 1 if equal, else the share of equal hashes where either has one."""
     x, y = F.split(a, r"\."), F.split(b, r"\.")
-    pairs = F.zip_with(x, y, lambda p, q: F.when((p == "-") & (q == "-"), F.lit(None).cast("double")).when(p == q, 1.0).otherwise(0.0))
-    some = F.filter(pairs, lambda v: v.isNotNull())
-    share = F.when(F.size(some) > 0, F.aggregate(some, F.lit(0.0), lambda s, v: s + v) / F.size(some)).otherwise(0.0)
-    return F.when(a == b, 1.0).when((F.size(x) == 1) | (F.size(y) == 1), 0.0).otherwise(share)
+    slots = lambda v: F.transform(v, lambda e: F.substring(e, 1, 2))
+    share = F.size(F.array_intersect(x, y)) / F.size(F.array_union(slots(x), slots(y)))
+    return F.when(a == b, 1.0).when(a.startswith("t") | b.startswith("t"), 0.0).otherwise(share)
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -100,10 +94,15 @@ def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataF
     v = v.select("part", "at", "halo", "doc_id", "n_chars", "v.kind", F.sha2(F.col("v.t"), 256).alias("sha"), F.posexplode_outer(term_hashes(F.col("v.t"))).alias("k", "term"))
     # a text's first term stays whether it is in the band or not, so that no text is lost
     v = v.join(F.broadcast(lex.withColumn("known", F.lit(True))), "term", "left").where("known or k is null or k = 0")
-    v = v.select(*of_text, F.when(F.col("known"), 1).alias("one"), *(F.when(F.col("known"), F.xxhash64("term", F.lit(r))).alias(f"h{r}") for r in range(REPEATS)))
-    terms = v.groupBy(*of_text).agg(F.count("one").alias("n_terms"), *(_level(r, j) for r, j in _SUBSETS))
-    hashes = F.concat_ws(".", *(F.coalesce(F.substring(F.hex(f"s{r}_{j}"), -8, 8), F.lit("-")) for r, j in _SUBSETS))
-    texts = terms.select(*of_text, F.when(F.col("n_terms") == 0, F.concat(F.lit("t"), F.substring("sha", 1, 16))).otherwise(hashes).alias("fp"))
+    hashed = v.select(*of_text, "k", *(F.when(F.col("known"), F.xxhash64("term", F.lit(r))).alias(f"h{r}") for r in range(REPEATS)))
+    each = [F.when(F.col(f"h{r}").isNotNull(), F.struct(F.lit(LEVELS * r).alias("first"), F.col(f"h{r}").alias("h"))) for r in range(REPEATS)]
+    each.append(F.when(F.coalesce("k", F.lit(0)) == 0, F.struct(F.lit(-1).alias("first"), F.lit(0).cast("long").alias("h"))))
+    dealt = hashed.select(*of_text, F.explode(F.array(*each)).alias("e")).select(*of_text, _slot(F.col("e.first"), F.col("e.h")).alias("slot"), "e.h").where("slot is not null")
+    # the exclusive-or of the hashes of distinct terms is the same for any order of them, as the hash of the sorted list is
+    subsets = dealt.groupBy(*of_text, "slot").agg(F.bit_xor("h").alias("h"))
+    entry = F.when(F.col("slot") >= 0, F.concat(F.lpad(F.col("slot").cast("string"), 2, "0"), F.substring(F.hex("h"), -8, 8)))
+    texts = subsets.groupBy(*of_text).agg(F.sort_array(F.collect_list(entry)).alias("s"))
+    texts = texts.select(*of_text, F.when(F.size("s") == 0, F.concat(F.lit("t"), F.substring("sha", 1, 16))).otherwise(F.array_join("s", ".")).alias("fp"))
     one = texts.groupBy("part", "at").agg(
         F.first("halo").alias("halo"),
         F.first("doc_id").alias("doc_id"),
