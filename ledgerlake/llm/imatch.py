@@ -91,7 +91,9 @@ def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataF
     both = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t"))))
     v = x.select("part", "at", "halo", "doc_id", "n_chars", both.alias("v")).where("v.t is not null")
     of_text = ["part", "at", "kind", "halo", "doc_id", "n_chars", "sha"]
-    v = v.select("part", "at", "halo", "doc_id", "n_chars", "v.kind", F.sha2(F.col("v.t"), 256).alias("sha"), F.posexplode_outer(term_hashes(F.col("v.t"))).alias("k", "term"))
+    # a column made beside a generator would be made again for each of its rows
+    v = v.select("part", "at", "halo", "doc_id", "n_chars", "v.kind", F.sha2(F.col("v.t"), 256).alias("sha"), term_hashes(F.col("v.t")).alias("terms"))
+    v = v.select(*of_text, F.posexplode_outer("terms").alias("k", "term"))
     # a text's first term stays whether it is in the band or not, so that no text is lost
     v = v.join(F.broadcast(lex.withColumn("known", F.lit(True))), "term", "left").where("known or k is null or k = 0")
     hashed = v.select(*of_text, "k", *(F.when(F.col("known"), F.xxhash64("term", F.lit(r))).alias(f"h{r}") for r in range(REPEATS)))
