@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text handled at once; a longer text is handled alone.
-CHUNK = 4 << 20
+#: Bytes of text handled at once, about 50 MB of working memory; a longer text is handled alone.
+CHUNK = 1 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
