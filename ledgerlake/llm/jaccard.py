@@ -177,6 +177,8 @@ def class_links(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     members = grouped.select("gid", F.explode("members").alias("m"))
     pairs = cross.join(members.withColumnRenamed("m", "u"), "gid").join(members.select(F.col("gid").alias("gid2"), F.col("m").alias("v")), "gid2").select("u", "v").distinct()
     second = save(_verified(pairs, classes, percent), "cross")
+    if second.isEmpty():
+        return comps
     return components(first.unionByName(second))
 
 
