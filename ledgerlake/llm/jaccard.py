@@ -120,11 +120,25 @@ def shared_counts(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
         more[:-1] |= same
         n = np.bincount(rows[order[more]], minlength=base)
         some = np.flatnonzero(n)
-        return pa.table({"doc_id": ids[some], "size": sizes[some], "shared": n[some].astype(np.int64)})
+        ids, sizes, n = ids[some], sizes[some], n[some].astype(np.int32)
+        # texts go on in packed slices: as rows there would be one for each text and bucket
+        to = (T.mix(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        cut = np.searchsorted(to[order], np.arange(buckets + 1))
+        full = [k for k in range(buckets) if cut[k] < cut[k + 1]]
+        packed = lambda x: pa.array([x[order[cut[k] : cut[k + 1]]].tobytes() for k in full], pa.binary())
+        return pa.table({"slice": pa.array(full, pa.int32()), "ids": packed(ids), "sizes": packed(sizes), "n": packed(n)})
+
+    def total(part):
+        ids, sizes, n = (np.concatenate([np.frombuffer(x.as_py(), kind) for x in part[c]]) for c, kind in (("ids", np.int64), ("sizes", np.int32), ("n", np.int32)))
+        order = np.lexsort((sizes, ids))
+        ids, sizes = ids[order], sizes[order]
+        first = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (sizes[1:] != sizes[:-1]))))
+        return pa.table({"doc_id": ids[first], "size": sizes[first], "shared": np.add.reduceat(n[order].astype(np.int64), first)})
 
     dealt = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(deal, "bucket int, ids binary, sizes binary, rows binary, keys binary")
-    hits = dealt.groupBy("bucket").applyInArrow(count, "doc_id long, size int, shared long")
-    return hits.groupBy("doc_id", "size").agg(F.sum("shared").alias("shared"))
+    hits = dealt.groupBy("bucket").applyInArrow(count, "slice int, ids binary, sizes binary, n binary")
+    return hits.groupBy("slice").applyInArrow(total, "doc_id long, size int, shared long")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
