@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import panel, retrieval
+from .plans import extraction, panel, retrieval
 
-QUERIES = panel.QUERIES | retrieval.QUERIES
-ORACLES = panel.ORACLES | retrieval.ORACLES
+QUERIES = panel.QUERIES | retrieval.QUERIES | extraction.QUERIES
+ORACLES = panel.ORACLES | retrieval.ORACLES | extraction.ORACLES
