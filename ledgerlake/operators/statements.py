@@ -84,7 +84,7 @@ def laid_out(table: str | None) -> list[list[str]]:
     return out
 
 
-grid = F.udf(laid_out, ArrayType(ArrayType(StringType())))
+grid = F.udf(laid_out, ArrayType(ArrayType(StringType())), useArrow=True)
 
 
 def table_rows(docs: DataFrame, key: str, html: str) -> DataFrame:
