@@ -163,6 +163,41 @@ def test_exchange_finds_two_classes():
     assert of[0] == of[1] != of[2] == of[3] and of[4:].tolist() == [2, 3]
 
 
+def test_placer_gives_the_gain_of_exchange():
+    r = np.random.default_rng(3)
+    n, k = 12, 3
+    tokens = r.integers(0, n, 4000)  # words 0 to 5 are the core, of classes 0 to 2, the others open
+    cls = np.array([0, 0, 1, 1, 2, 2, *[k] * (n - 6)])
+    like = lambda of: (lambda t: classlm._xlogx(t).sum() - classlm._xlogx(t.sum(0)).sum() - classlm._xlogx(t.sum(1)).sum())(np.histogram2d(of[tokens[:-1]], of[tokens[1:]], bins=k + 2, range=[[0, k + 2]] * 2)[0])
+    moves = np.histogram2d(cls[tokens[:-1]], cls[tokens[1:]], bins=k + 2, range=[[0, k + 2]] * 2)[0]
+    for w in range(6, n):
+        at = np.flatnonzero(tokens[1:-1] == w) + 1
+        if tokens[0] == w or tokens[-1] == w:
+            continue
+        side = lambda x: np.where(x == w, k + 2, cls[x])
+        got = classlm.Placer(moves).gains(np.zeros(len(at), np.int64), side(tokens[at - 1]), side(tokens[at + 1]), 1)[0]
+        want = np.array([like(np.where(np.arange(n) == w, b, cls)) for b in range(k)])
+        assert np.allclose(got - got[0], want - want[0])
+
+
+@pytest.mark.parametrize("known", [5, 1_000_000])
+def test_words_outside_the_core_have_classes(spark, known):
+    core = [(k, " ".join(["aa", "bb", "aa", "bb"] * 3)) for k in range(300)]
+    # xx stands where bb does, yy where aa does, both as often
+    rare = [(1000 + k, "aa bb aa xx aa bb yy bb aa bb") for k in range(40)]
+    ask = [(5000, "aa xx aa"), (5001, "aa yy aa"), (5002, "xx yy"), (5003, "yy xx"), (5004, "xx xx")]
+    docs = spark.createDataFrame(core + rare + ask, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in classlm.score(docs, modulus=1, held=1, frequent=2, classes=2, known=known).collect()}
+    assert got[5000] > got[5001] + 1 and got[5002] > got[5004] and got[5003] > got[5004]
+
+
+def test_class_lm_is_the_same_for_words_not_at_hand(spark):
+    r = np.random.default_rng(5)
+    docs = spark.createDataFrame([(k, " ".join(f"v{int(x)}" for x in r.zipf(1.4, 60) % 400)) for k in range(200)], "doc_id long, text string")
+    near, far = ({x.doc_id: tuple(x) for x in classlm.score(docs, frequent=10, classes=4, known=known).collect()} for known in (1_000_000, 20))
+    assert near.keys() == far.keys() and all(np.allclose(near[k], far[k]) for k in near)
+
+
 def test_neighbours(spark):
     r = np.random.default_rng(1)
     v = r.standard_normal((1500, 16))
