@@ -1,18 +1,21 @@
 """Operator 5, license scans by conditional compression.
 
-A candidate block is a line of a text that holds a word of license notices. It is compressed with zstandard on its own
-and with each template as a raw dictionary; templates are ranked by how much smaller the block gets. The winners, in
-that order, are confirmed by exact wording: the template's words are aligned with the block's, and what differs is
-counted; a number (a version) that differs, or more differences than DIFFERENT of the template's words, rejects.
-
-Whole texts are scanned, all lines of them. Null and empty texts give no rows. A line that repeats in a text gives a row
-for each place. Rows that share a doc_id are each scanned. Other columns are ignored.
+Every cue, a word of license notices, anywhere in a text is laid on each such word of each template: the block is the
+template's number of words there, and the differences allowed on either side, across line ends. It is compressed with
+zstandard on its own and with the template as a raw dictionary; templates are ranked by how much smaller the block gets. The
+winners, in that order, are confirmed by exact wording: the template's words are aligned with the block's, and what differs is
+counted; a number (a version) that differs, or more differences than DIFFERENT of the template's words, rejects. Of
+confirmed notices that overlap, one inside a longer one goes, then the one with fewest differences stays.
+
+Whole texts are scanned, whatever their lines. Null and empty texts give no rows. A notice that repeats in a text gives a row
+for each place, with the line where it begins. Rows that share a doc_id are each scanned. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +45,7 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
     "Proprietary": "All rights reserved. No part of this work may be reproduced without permission.",
 }
-CUE = r"(?i)licen[sc]e|copyright|permission|permitted|public domain|rights reserved|\bCC0\b|\bCC BY"
+CUE = r"(?i)licen[sc]e|copyright|permission|permitted|public\W+domain|rights\W+reserved|\bCC0\b|\bCC\W+BY"
 DIFFERENT, LEAST_GAIN, RANKED = 0.2, 0.25, 3
 _WORD = re.compile(r"[0-9]+(?:\.[0-9]+)*|[^\W\d_]+(?:-[^\W\d_]+)*")
 
@@ -51,8 +54,8 @@ def wording(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
-def differences(template: list[str], block: list[str]) -> tuple[int, bool]:
-    """Template words that are changed, left out or broken up by other words, and whether a number or a name with a hyphen changed."""
+def differences(template: list[str], block: list[str]) -> tuple[int, bool, int, int]:
+    """Template words that are changed, left out or broken up by other words, whether a number or a name with a hyphen changed, and the block's words from the first to the last that agree."""
     n, fixed = 0, False
     ops = [x for x in difflib.SequenceMatcher(None, template, block, autojunk=False).get_opcodes()]
     for k, (op, a, b, c, d) in enumerate(ops):
@@ -63,7 +66,20 @@ def differences(template: list[str], block: list[str]) -> tuple[int, bool]:
         extra = block[c:d] if k not in (0, len(ops) - 1) else []
         n += max(len(changed), len(extra))
         fixed |= any(w[0].isdigit() or "-" in w for w in changed + extra)
-    return n, fixed
+    same = [(c, d) for op, _, _, c, d in ops if op == "equal"]
+    return n, fixed, same[0][0] if same else 0, same[-1][1] if same else 0
+
+
+_FIND = re.compile(CUE)
+
+
+def _cues(text: str, starts: list[int]) -> list[tuple[int, str]]:
+    """Number of the word in which each cue begins, and the kind of cue."""
+    out = []
+    for m in _FIND.finditer(text):
+        kind = re.sub(r"\W+", " ", m.group().lower())
+        out.append((bisect_right(starts, m.start()) - 1, "license" if kind.startswith("licen") else kind))
+    return out
 
 
 class Scanner:
@@ -72,44 +88,79 @@ class Scanner:
         make = zstandard.ZstdCompressor
         self.plain = make(level=3, write_content_size=False, write_checksum=False)
         self.given = [make(level=3, dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False) for t in templates.values()]
-        self.seen: dict[str, list] = {}
+        self.anchors: dict[str, list[tuple[int, int]]] = {}
+        for k, t in enumerate(templates.values()):
+            for at, kind in _cues(t, [m.start() for m in _WORD.finditer(t)]):
+                self.anchors.setdefault(kind, []).append((k, at))
+        self.seen: dict[tuple[int, str], tuple] = {}
         self.kept = kept
 
-    def scan(self, block: str) -> list[tuple[str, float, int]]:
-        """(template, share of bytes saved, differences) of the confirmed templates, largest saving first."""
-        if block in self.seen:
-            return self.seen[block]
-        data = block.encode()
-        alone = len(self.plain.compress(data))
-        gains = np.array([1 - len(c.compress(data)) / alone for c in self.given])
-        out, own = [], wording(block)
-        for k in np.argsort(-gains, kind="stable")[:RANKED]:
-            if gains[k] < LEAST_GAIN:
-                break
-            n, fixed = differences(self.words[k], own)
-            if not fixed and n <= DIFFERENT * len(self.words[k]):
-                out.append((self.names[k], float(gains[k]), n))
+    def _try(self, k: int, block: str) -> tuple[float, int, bool, int, int]:
+        """Share of bytes that template k saves of a block, and differences()."""
+        found = self.seen.get((k, block))
+        if found is None:
+            data = block.encode(errors="replace")
+            gain = 1 - len(self.given[k].compress(data)) / len(self.plain.compress(data))
+            found = (gain, *(differences(self.words[k], wording(block)) if gain >= LEAST_GAIN else (0, True, 0, 0)))
+            if len(self.seen) < self.kept and len(block) < 1000:
+                self.seen[k, block] = found
+        return found
+
+    def scan(self, text: str) -> list[tuple[str, float, int, int]]:
+        """(template, share of bytes saved, differences, place) of the confirmed notices of a text, in order of place."""
+        if not _FIND.search(text):
+            return []
+        spans = [m.span() for m in _WORD.finditer(text)]
+        starts = [a for a, _ in spans]
+        hits = set()
+        for at, kind in _cues(text, starts):
+            best: dict[int, tuple] = {}
+            for k, own in self.anchors.get(kind, ()):
+                n = len(self.words[k])
+                more = int(DIFFERENT * n)
+                a, b = max(0, at - own - more), min(len(spans), at - own + n + more)
+                block = " ".join(text[spans[a][0] : spans[b - 1][1]].split())
+                gain, different, fixed, x, y = self._try(k, block)
+                passes = gain >= LEAST_GAIN and not fixed and different <= DIFFERENT * n
+                # a template's best block: the one whose wording passes, then the largest saving
+                best[k] = max(best.get(k, (False, -1.0)), (passes, gain, -different, a + x, a + y))
+            for k in sorted(best, key=lambda k: (-best[k][1], k))[:RANKED]:
+                passes, gain, *rest = best[k]
+                if passes:
+                    hits.add((-rest[0], -gain, k, rest[1], rest[2]))
+        size = lambda h: len(self.words[h[2]])
+        hits = sorted(hits, key=lambda h: (h[3], h[4]))
+        longest, firsts = max((h[4] - h[3] for h in hits), default=0), [h[3] for h in hits]
+        near = lambda h: hits[bisect_left(firsts, h[3] - longest) : bisect_right(firsts, h[4])]
+        inside = lambda h: any(g[3] <= h[3] and h[4] <= g[4] and g[4] - g[3] > h[4] - h[3] and size(g) > size(h) for g in near(h))
+        out, taken = [], set()
         # the exact wording decides among those that pass
-        out.sort(key=lambda x: (x[2], -x[1], x[0]))
-        if len(self.seen) < self.kept and len(block) < 1000:
-            self.seen[block] = out
-        return out
+        for n, gain, k, a, b in sorted((h for h in hits if not inside(h)), key=lambda h: (h[0], h[1], self.names[h[2]], h[3])):
+            if taken.isdisjoint(range(a, b)):
+                taken.update(range(a, b))
+                out.append((self.names[k], -gain, n, starts[a]))
+        return sorted(out, key=lambda x: x[3])
 
 
 def licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """doc_id, line, license, saved, differences: the best confirmed template of each candidate line."""
+    """doc_id, line, license, saved, differences: the best confirmed template of each place with a notice."""
     prepare(docs.sparkSession)
-    lines = docs.select(F.col("doc_id").cast("long"), "text").where(F.col("text").rlike(CUE)).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "block")).where(F.col("block").rlike(CUE))
+    texts = docs.select(F.col("doc_id").cast("long"), "text").where(F.col("text").rlike(CUE))
 
     def run(batches):
         scanner = Scanner(templates)
         for batch in batches:
-            found = [(i, scanner.scan(t.as_py())) for i, t in enumerate(T.rows_with(batch, "block"))]
-            found = [(i, x[0]) for i, x in found if x]
-            at = pa.array([i for i, _ in found], pa.int64())
+            found = []
+            for i, t in enumerate(T.rows_with(batch, "text")):
+                text = t.as_py()
+                line, done = 0, 0
+                for name, gain, n, at in scanner.scan(text):
+                    line, done = line + text.count("\n", done, at), at
+                    found.append((i, line, name, gain, n))
+            at, line, name, gain, n = zip(*found) if found else ([],) * 5
             yield pa.record_batch(
-                [T.rows_with(batch, "doc_id").take(at), T.rows_with(batch, "line").take(at), pa.array([x[0] for _, x in found], pa.string()), pa.array([x[1] for _, x in found], pa.float64()), pa.array([x[2] for _, x in found], pa.int32())],
+                [T.rows_with(batch, "doc_id").take(pa.array(at, pa.int64())), pa.array(line, pa.int32()), pa.array(name, pa.string()), pa.array(gain, pa.float64()), pa.array(n, pa.int32())],
                 names=["doc_id", "line", "license", "saved", "differences"],
             )
 
-    return lines.mapInArrow(run, "doc_id long, line int, license string, saved double, differences int")
+    return texts.mapInArrow(run, "doc_id long, line int, license string, saved double, differences int")

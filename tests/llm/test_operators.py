@@ -286,6 +286,21 @@ def test_licenses(docs, empty, spark):
     assert licenses.licenses(docs).count() == 0 and licenses.licenses(empty).count() == 0
 
 
+def test_licenses_inside_long_lines_and_over_line_ends(spark):
+    prose = "and the river ran past the old mill where nobody had lived for years " * 40
+    notices = {k: v for k, v in licenses.TEMPLATES.items()}
+    rows, want = [], set()
+    for j, (name, t) in enumerate(notices.items()):
+        w = t.split()
+        wrapped = "\n".join(" ".join(w[a : a + 4]) for a in range(0, len(w), 4))
+        for k, x in enumerate([prose + t + " " + prose, "x\n" + wrapped + "\n" + prose, prose + t]):
+            rows.append((10 * j + k, x))
+            want.add((10 * j + k, int(k == 1), name, 0))
+    rows.append((1000, prose + notices["MIT"] + " " + notices["MIT"] + " " + prose + notices["GPL-2.0"].replace("2", "4") + prose))
+    got = [(r.doc_id, r.line, r.license, r.differences) for r in licenses.licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert Counter(got) == Counter([*want, (1000, 0, "MIT", 0), (1000, 0, "MIT", 0)])
+
+
 def test_text_scan_matches_regex():
     from ledgerlake.llm import textops as T
 
