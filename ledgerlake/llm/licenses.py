@@ -44,6 +44,7 @@ TEMPLATES = {
     "CC0-1.0": "Dedicated to the public domain under CC0 1.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
     "Proprietary": "All rights reserved. No part of this work may be reproduced without permission.",
+    "All-rights-reserved": "All rights reserved.",
 }
 CUE = r"(?i)licen[sc]e|copyright|permission|permitted|public\W+domain|rights\W+reserved|\bCC0\b|\bCC\W+BY"
 DIFFERENT, LEAST_GAIN, RANKED = 0.2, 0.25, 3

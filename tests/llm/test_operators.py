@@ -301,6 +301,15 @@ def test_licenses_inside_long_lines_and_over_line_ends(spark):
     assert Counter(got) == Counter([*want, (1000, 0, "MIT", 0), (1000, 0, "MIT", 0)])
 
 
+def test_cue_lines_of_the_tables(spark):
+    x = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = {"This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "All rights reserved.": "All-rights-reserved", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0"}
+    lines = Counter((r.doc_id, k, line) for r in x.select("doc_id", "text").collect() for k, line in enumerate((r.text or "").split("\n")) if re.search(licenses.CUE, line))
+    assert lines and Counter((r.doc_id, r.line, r.license, r.differences) for r in licenses.licenses(x).collect()) == Counter({(i, k, want[line], 0): n for (i, k, line), n in lines.items()})
+    full = [(1, licenses.TEMPLATES["Proprietary"]), (2, "Copyright 2020 Some One. All rights reserved. More text here.")]
+    assert {(r.doc_id, r.license) for r in licenses.licenses(spark.createDataFrame(full, "doc_id long, text string")).collect()} == {(1, "Proprietary"), (2, "All-rights-reserved")}
+
+
 def test_text_scan_matches_regex():
     from ledgerlake.llm import textops as T
 
