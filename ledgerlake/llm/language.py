@@ -6,8 +6,9 @@ the address, and the host. What a declaration or a suffix is worth is measured b
 of (declared, language) and (suffix, language) by text alone, smoothed. Host priors are smoothed in a hierarchy: a host
 leans on its suffix, a suffix on all rows.
 
-Trigram models are fitted on a bounded sample: the SAMPLE rows of each declared language with the least hash of their
-id. All counts for priors cover all rows; they are summed before anything is shuffled, and hosts meet their rows in a
+Trigram models are fitted for every language that LEAST_ROWS rows declare, on a bounded sample: the SAMPLE rows with the least
+hash of their id. Declarations without a model are evidence together, worth what is measured like that of the others; where
+a text is of no known language, its declaration is the answer. All counts for priors cover all rows; they are summed before anything is shuffled, and hosts meet their rows in a
 join that carries no text.
 
 A null or empty text has no text evidence and gets the priors' answer; with no other evidence either it is "und". Null or
@@ -20,16 +21,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import textops as T
 from .common import prepare, save
 
 SAMPLE, BITS = 400, 16
+#: Rows from which on a declared language has a model.
+LEAST_ROWS = 10
 #: Trigrams are not independent: the mean log ratio counts as that of TEMPER trigrams at most.
 TEMPER, SMOOTH = 60.0, 20.0
 #: How much less likely, in nats, a text with letters is to be of no known language.
 MARGIN = 15.0
 UNKNOWN = "und"
+#: Stands for all declarations without a model; no language has this name.
+OTHER = "?"
+TAG = r"^[a-z]{2,8}([-_][a-z0-9]{1,8})*$"
 
 
 _LETTER = np.full(256, 32, np.uint8)
@@ -54,8 +61,11 @@ def train(texts: list[str], labels: list[str], languages: list[str]) -> np.ndarr
     out = np.zeros((1 << BITS, len(languages) + 1), np.float32)
     used = np.zeros(1 << BITS, bool)
     counts = []
+    of: dict[str, list[str]] = {name: [] for name in languages}
+    for t, x in zip(texts, labels, strict=True):
+        of[x].append(t)
     for name in languages:
-        data, offsets = T.buffers(pa.array([t for t, x in zip(texts, labels, strict=True) if x == name], pa.string()))
+        data, offsets = T.buffers(pa.array(of[name], pa.string()))
         c = np.bincount(_codes(data, offsets)[0], minlength=1 << BITS).astype(float)
         used |= c > 0
         counts.append(c)
@@ -67,16 +77,15 @@ def train(texts: list[str], labels: list[str], languages: list[str]) -> np.ndarr
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, label: str = "lang", key: str = "doc_id") -> tuple[list[str], np.ndarray]:
-    """Languages and trigram table from at most `sample` rows of each of the 32 commonest declared languages."""
+    """Languages and trigram table from at most `sample` rows of each language that LEAST_ROWS rows declare."""
     lang = F.lower(F.trim(F.col(label)))
     d = docs.select(F.col(key).cast("long").alias("k"), lang.alias("l")).where("l is not null and k is not null and l <> '' and l <> 'und'")
-    names = sorted(r["l"] for r in d.groupBy("l").count().orderBy(F.desc("count"), "l").limit(32).collect())
-    chosen = None
-    for name in names:
-        one = d.where(F.col("l") == name).orderBy(F.xxhash64("k"), "k").limit(sample)
-        chosen = one if chosen is None else chosen.unionByName(one)
-    if chosen is None:
+    names = sorted(r["l"] for r in d.groupBy("l").count().where(F.col("count") >= LEAST_ROWS).select("l").collect())
+    if not names:
         return [], np.zeros((1 << BITS, 1), np.float32)
+    order = Window.partitionBy("l").orderBy(F.xxhash64("k"), "k")
+    kept = F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in names], "l string"))  # a row for each language
+    chosen = d.join(kept, "l").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample).select("k", "l")
     rows = docs.select(F.col(key).cast("long").alias("k"), "text", lang.alias("l")).join(F.broadcast(chosen.distinct()), ["k", "l"]).orderBy("k", "text").toArrow()
     return names, train([x or "" for x in rows["text"].to_pylist()], rows["l"].to_pylist(), names)
 
@@ -116,34 +125,36 @@ def identify(rows: DataFrame, languages: list[str], table: np.ndarray) -> DataFr
     top = F.array_max("evidence")
     scored = scored.withColumn("_e", F.transform("evidence", lambda x: F.exp(x - top)))
     scored = scored.withColumn("_sum", F.aggregate("_e", F.lit(0.0), lambda a, b: a + b)).withColumn("soft", F.transform("_e", lambda x: x / F.col("_sum"))).drop("_e", "_sum")
-    known = F.when(F.lower(F.trim("declared")).isin(languages), F.lower(F.trim("declared")))
+    said = F.lower(F.trim("declared"))
+    known = F.when(said.isin(languages), said).when((said != UNKNOWN) & said.rlike(TAG), OTHER)
     scored = scored.withColumn("_d", F.coalesce(known, F.lit(""))).withColumn("_s", F.coalesce("suffix", F.lit(""))).withColumn("_h", F.coalesce("host", F.lit("")))
     scored = save(scored, "language")
     sums = lambda d: d.agg(*(F.sum(F.col("soft")[i]).alias(f"n{i}") for i in range(k)))
     vector = lambda t: np.array([[r[f"n{i}"] or 0.0 for i in range(k)] for r in t]).reshape(-1, k)
-    # at most 33 declared values
+    # a row for each language, one for other declarations, one for none
     found = sums(scored.groupBy("_d")).collect()
     counts = vector(found)
     total = counts.sum(0) if len(counts) else np.zeros(k)
     prior = (total + 1.0) / (total.sum() + k)
     declared_given = {r["_d"]: np.log((c + SMOOTH * (c.sum() + 1) / (total.sum() + k)) / (total + SMOOTH)) for r, c in zip(found, counts, strict=True)}
     lit = lambda v: F.array(*(F.lit(float(x)) for x in v))
-    of_declared = F.lit(None).cast("array<double>")
-    for name, v in declared_given.items():
-        of_declared = F.when(F.col("_d") == name, lit(v if name else np.zeros(k))).otherwise(of_declared)
+    worth = [(name, [float(x) for x in (v if name else np.zeros(k))]) for name, v in declared_given.items()]
+    worth = F.broadcast(spark.createDataFrame(worth, "_d string, _dv array<double>"))  # a row for each declared value
     lean = lambda own, up: F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: (F.get(own, i) + SMOOTH * F.get(up, i)) / (F.aggregate(own, F.lit(0.0), lambda a, b: a + b) + SMOOTH))
     array = F.array(*(F.col(f"n{i}") for i in range(k)))
     suffixes = sums(scored.groupBy("_s")).select("_s", lean(array, lit(prior)).alias("_sp"))
     hosts = sums(scored.groupBy("_s", "_h")).select("_s", "_h", array.alias("_hn")).join(suffixes, "_s").select("_s", "_h", lean(F.col("_hn"), F.col("_sp")).alias("_hp"))
-    joined = scored.join(hosts, ["_s", "_h"])
-    fused = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.get("evidence", i) + F.get(of_declared, i) + F.log(F.get("_hp", i)))
+    joined = scored.join(hosts, ["_s", "_h"]).join(worth, "_d", "left")
+    fused = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.get("evidence", i) + F.get("_dv", i) + F.log(F.get("_hp", i)))
     joined = joined.withColumn("_f", fused).withColumn("_top", F.array_max("_f"))
     name_of = lambda c: F.element_at(F.array(*map(F.lit, names)), F.array_position(c, F.array_max(c)).cast("int"))
     joined = joined.withColumn("lang", name_of(F.col("_f"))).withColumn("text_lang", name_of(F.col("evidence")))
     joined = joined.withColumn("confidence", 1 / F.aggregate(F.transform("_f", lambda x: F.exp(x - F.col("_top"))), F.lit(0.0), lambda a, b: a + b))
-    bare = (F.array_max("evidence") == 0) & (F.array_min("evidence") == 0) & (F.col("_d") == "") & (F.col("_h") == "")
+    bare = (F.array_max("evidence") == 0) & (F.array_min("evidence") == 0) & F.col("_d").isin("", OTHER) & (F.col("_h") == "")
     joined = joined.withColumn("lang", F.when(bare, UNKNOWN).otherwise(F.col("lang"))).withColumn("text_lang", F.when((F.array_max("evidence") == 0) & (F.array_min("evidence") == 0), UNKNOWN).otherwise(F.col("text_lang")))
-    return joined.drop("_d", "_s", "_h", "_f", "_top", "_hp", "evidence", "soft")
+    letters = (F.array_max("evidence") != 0) | (F.array_min("evidence") != 0)
+    joined = joined.withColumn("lang", F.when((F.col("lang") == UNKNOWN) & letters & (F.col("_d") == OTHER), said).otherwise(F.col("lang")))
+    return joined.drop("_d", "_dv", "_s", "_h", "_f", "_top", "_hp", "evidence", "soft")
 
 
 def page_rows(pages: DataFrame) -> DataFrame:

@@ -278,6 +278,20 @@ def test_language(spark):
     assert all(0 < r.confidence <= 1 for r in got.values())
 
 
+def test_language_has_a_model_of_every_language(spark):
+    r = np.random.default_rng(4)
+    names = [f"l{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(40)]
+    sets = {n: ["".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(30)] for n in names}
+    say = lambda n: " ".join(r.choice(sets[n], 60))
+    train = spark.createDataFrame([(100 * j + k, say(n), n) for j, n in enumerate(names) for k in range(12)] + [(9000 + k, "дом", "qq") for k in range(3)], "doc_id long, text string, lang string")
+    got_names, model = language.fit(train)
+    assert got_names == names
+    rows = [(j, say(n), None) for j, n in enumerate(names)] + [(100, "дом и сад у реки где никто не жил", "qq"), (101, say(names[3]), "zz"), (102, "12345", "qq"), (103, "дом и сад у реки где никто не жил", None)]
+    x = spark.createDataFrame([(*row, None, None) for row in rows], "k long, text string, declared string, host string, suffix string")
+    got = {r.k: r.lang for r in language.identify(x, got_names, model).collect()}
+    assert got == {**dict(enumerate(names)), 100: "qq", 101: names[3], 102: "und", 103: "und"}
+
+
 def test_licenses(docs, empty, spark):
     lines = ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 1.1.", "Text. Released under the MIT License. More text here.", "a licence to thrill", "Licensed under CC BY-NC 4.0.", "Licensed under CC BY 4.0."]
     x = spark.createDataFrame([(1, "\n".join(["plain", *lines, lines[0]])), (2, None)], "doc_id long, text string")
