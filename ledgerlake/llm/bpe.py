@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import textops as T
 from .common import prepare
-from .encode import Segments
+from .encode import Pieces
 
 LEAF = 6
 #: Leaves and seams kept by one worker.
@@ -35,7 +35,7 @@ class TreeBpe:
         self.bytes = {v: k for k, v in ranks.items()}
         self.leaves: dict[bytes, list[int]] = {}
         self.seams: dict[tuple[int, int], bool] = {}
-        self.text = Segments(lambda s: np.array(self.encode_text(s), "<u4").tobytes(), 400_000)
+        self.table = Pieces(self.split, self.encode_piece, self.encode_text, kept=KEPT)
 
     def _merge(self, b: bytes) -> list[int]:
         """Plain BPE: the pair of least rank merges first, the leftmost of equals."""
@@ -96,9 +96,9 @@ class TreeBpe:
     def encode_text(self, text: str) -> list[int]:
         return [t for piece in self.split(text) for t in self.encode_piece(piece)]
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit bytes."""
-        return self.text.encode(text)
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a text."""
+        return next((ids for _, _, ids, _ in self.table.column(pa.array([text]))), np.zeros(0, np.uint32))
 
     def decode(self, ids: np.ndarray) -> bytes:
         if len(ids) <= 4096:
@@ -125,11 +125,12 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         c = coder(path, pattern)
         for batch in batches:
             n, one, two = [], [], []
-            for text in T.rows_with(batch, "text"):
-                data = c.encode(text.as_py() or "")
-                n.append(len(data) // 4)
-                one.append(hashlib.sha256(data).hexdigest())
-                two.append(hashlib.sha256(c.decode(np.frombuffer(data, "<u4"))).hexdigest())
+            for a, b, all_ids, at in c.table.column(T.rows_with(batch, "text")):
+                for k in range(b - a):
+                    ids = all_ids[at[k] : at[k + 1]]
+                    n.append(len(ids))
+                    one.append(hashlib.sha256(ids).hexdigest())
+                    two.append(hashlib.sha256(c.decode(ids)).hexdigest())
             yield pa.record_batch([T.rows_with(batch, "doc_id"), pa.array(n, pa.int64()), pa.array(one), pa.array(two)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

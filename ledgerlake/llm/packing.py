@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import textops as T
 from .common import prefix_sums, prepare, save
-from .encode import segments
+from .encode import pieces
 
 SIZE = 1024
 
@@ -116,22 +116,24 @@ def pack(docs: DataFrame, path: str, end_id: int = 0, size: int = SIZE) -> DataF
     prepare(spark)
 
     def cut(batches):
-        coder, part, wide = segments(path), TaskContext.get().partitionId(), None
-        seen, windows = np.zeros(size, np.int64), 0
-        end = np.array([end_id], "<u4").tobytes()
+        coder, part = pieces(path), TaskContext.get().partitionId()
+        seen, windows = [0] * size, 0
+        end = np.array([end_id], np.uint32).tobytes()
         for batch in batches:
             n, full, rest, rank, before = [], [], [], [], []
-            for text in T.rows_with(batch, "text"):
-                data = coder.encode(text.as_py() or "") + end
-                n.append(len(data) // 4)
-                q, r = divmod(n[-1], size)
-                full.append([zlib.crc32(data[4 * size * k : 4 * size * (k + 1)]) for k in range(q)])
-                ids = np.frombuffer(data, "<u4", r, 4 * size * q)
-                rest.append((ids.astype("<u2") if r == 0 or ids.max() < 65536 else ids).tobytes())
-                rank.append(int(seen[r]))
-                before.append(windows)
-                seen[r] += 1
-                windows += q
+            for a, b, all_ids, at in coder.column(T.rows_with(batch, "text")):
+                at = at.tolist()
+                for k in range(b - a):
+                    data = all_ids[at[k] : at[k + 1]].tobytes() + end
+                    n.append(len(data) // 4)
+                    q, r = divmod(n[-1], size)
+                    full.append([zlib.crc32(data[4 * size * j : 4 * size * (j + 1)]) for j in range(q)])
+                    ids = np.frombuffer(data, np.uint32, r, 4 * size * q)
+                    rest.append((ids.astype("<u2") if r == 0 or ids.max() < 65536 else ids).tobytes())
+                    rank.append(seen[r])
+                    before.append(windows)
+                    seen[r] += 1
+                    windows += q
             yield pa.record_batch(
                 [pa.array([part] * len(n), pa.int32()), T.rows_with(batch, "doc_id"), pa.array(n, pa.int64()), pa.array(full, pa.list_(pa.int64())), pa.array(rest, pa.binary()), pa.array(rank, pa.int64()), pa.array(before, pa.int64())],
                 names=["part", "doc_id", "n", "full", "rest", "rank", "before"],

@@ -1,13 +1,16 @@
 """Operator 2, token ids in Re-Pair compressed shards.
 
 Texts are dealt out by ranges of doc_id, encoded, and gathered into shards of about SHARD ids. In each shard the
-frequent pairs of neighbouring ids become nonterminals, round after round, until pairs are rare. A shard record holds
-the rules, how many ids each rule expands to, the shortened sequence and the lengths of its documents, so any run of
-ids can be decoded without the rest. Records are rows of a Parquet table (part, seq, base, n_tokens, payload) in
-ascending (part, seq), which is ascending doc_id.
-
-A null text is empty, a null doc_id sorts first, rows that share a doc_id stay side by side in the order of their text.
-Other columns are ignored; an empty table gives no shards.
+frequent pairs of neighbouring ids become nonterminals, round after round, until no pair occurs LEAST times. A round
+replaces all pairs that occur at least a quarter as often as the commonest one, so rounds grow with the depth of the
+grammar, not with the number of rules. A shard record holds the rules, how many ids each rule expands to, the shortened
+sequence, the place in the ids of every STEP-th symbol of it and the lengths of its documents: a run of ids is found by
+its nearest marked symbol and decoded without the rest. Records are rows of a Parquet table (part, seq, base, n_tokens,
+payload) in ascending (part, seq), which is ascending doc_id.
+
+Strings of the tokenizer's added tokens in a text have their own ids, the library's default. A null text is empty, a null
+doc_id sorts first, rows that share a doc_id stay side by side in the order of their text. A text of any length is in one
+shard. Other columns are ignored; an empty table gives no shards.
 """
 
 from __future__ import annotations
@@ -23,58 +26,104 @@ from pyspark.sql import functions as F
 
 from . import textops as T
 from .common import partitions, prefix_sums, prepare, save
-from .encode import segments
-
-SHARD, ROUNDS, PER_ROUND, LEAST = 2_000_000, 6, 1024, 24
-_MAGIC, _BITS = b"RPR1", 18
-
-
-def compress(ids: np.ndarray, vocabulary: int, rounds: int = ROUNDS, per_round: int = PER_ROUND, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """(rules, sequence). Rule k is a pair of smaller symbols and is itself symbol vocabulary + k."""
-    s, rules, top = ids.astype(np.int64), [], vocabulary
-    for _ in range(rounds):
-        if len(s) < 2 * least:
-            break
-        key = (s[:-1] << 31) | s[1:]
-        slot = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITS)).astype(np.int32)
-        count = np.bincount(slot, minlength=1 << _BITS)
-        hot = np.argpartition(count, -per_round)[-per_round:]
-        is_hot = np.zeros(1 << _BITS, bool)
-        is_hot[hot[count[hot] >= least]] = True
-        at = np.flatnonzero(is_hot[slot])
-        # one pair for each slot, then its exact count
+from .encode import pieces
+
+SHARD, LEAST, STEP = 2_000_000, 24, 1024
+#: A round takes the pairs that occur at least this part as often as those of the round before.
+FALL = 8
+_MAGIC, _BITS = b"RPR2", 19
+_SYMBOL = 26  # bits of a symbol in the key of a pair
+
+
+def _slots(a: np.ndarray, b: np.ndarray, seed: int) -> np.ndarray:
+    h = (a * np.uint32(0x9E3779B1 + 2 * seed) + b * np.uint32(0x85EBCA77 + 6 * seed)) * np.uint32(0xC2B2AE3D)
+    return (h >> np.uint32(32 - _BITS)).astype(np.int64)
+
+
+def _frequent(s: np.ndarray, at: np.ndarray | None, seed: int, least: int, all_of_them: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs, their places, which pair stands at each place) of pairs that occur `least` times or more among places `at`.
+
+    Places are counted by hash slot first. Where not all pairs are asked for, a slot gives one; others wait for another seed.
+    """
+    a, b = (s[:-1], s[1:]) if at is None else (s[at], s[at + 1])
+    slot = _slots(a, b, seed)
+    hot = np.flatnonzero((np.bincount(slot, minlength=1 << _BITS) >= least)[slot])
+    key = (a[hot].astype(np.int64) << _SYMBOL) | b[hot]
+    if all_of_them:
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])) if len(key) else np.zeros(0, np.int64)
+        count = np.diff(np.append(first, len(key)))
+        chosen = count >= least
+        pairs = key[order[first[chosen]]]
+        which = np.full(len(key), -1, np.int64)
+        which[order] = np.repeat(np.where(chosen, np.cumsum(chosen) - 1, -1), count)
+    else:
+        slot = slot[hot]
         one = np.full(1 << _BITS, -1, np.int64)
-        one[slot[at]] = key[at]
-        at = at[one[slot[at]] == key[at]]
-        count = np.bincount(slot[at], minlength=1 << _BITS)
-        chosen = np.flatnonzero(count >= least)
-        if not len(chosen):
-            break
-        symbol = np.full(1 << _BITS, -1, np.int64)
-        symbol[chosen] = top + np.arange(len(chosen))
-        rules.append(np.stack([one[chosen] >> 31, one[chosen] & ((1 << 31) - 1)], 1))
-        top += len(chosen)
-        at = at[symbol[slot[at]] >= 0]
+        one[slot] = key
+        mine = one[slot] == key
+        chosen = np.flatnonzero(np.bincount(slot[mine], minlength=1 << _BITS) >= least)
+        number = np.full(1 << _BITS, -1, np.int64)
+        number[chosen] = np.arange(len(chosen))
+        which, pairs = np.where(mine, number[slot], -1), one[chosen]
+    use = which >= 0
+    places = hot[use] if at is None else at[hot[use]]
+    return pairs, places, which[use]
+
+
+def compress(ids: np.ndarray, vocabulary: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """(rules, sequence). Rule k is a pair of smaller symbols and is itself symbol vocabulary + k.
+
+    Once all pairs that occur `least` times are replaced, only pairs with a symbol of the last round can be frequent.
+    """
+    s, rules, top, seed, fresh = ids.astype(np.uint32), [], vocabulary, 0, None
+    level = max(least, int(np.bincount(_slots(s[:-1], s[1:], 0)).max()) // FALL) if len(s) > 1 else least
+    while len(s) > least and top < (1 << _SYMBOL) - len(s):
+        at = None
+        if fresh is not None:
+            new = s >= fresh
+            at = np.flatnonzero(new[:-1] | new[1:])
+        pairs, at, which = _frequent(s, at, seed, level, level == least)
+        seed += 1
+        if not len(pairs):
+            if level == least:
+                break
+            level = max(least, level // FALL)
+            continue
+        if level == least:
+            fresh = top
+        level = max(least, level // FALL)
         # of overlapping pairs every other one, from the left
-        fresh = np.concatenate(([True], at[1:] != at[:-1] + 1))
-        run = np.flatnonzero(fresh)
-        at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0]
+        run = np.flatnonzero(np.append(True, at[1:] != at[:-1] + 1))
+        if len(run) < len(at):
+            keep = (np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0
+            at, which = at[keep], which[keep]
+        rules.append(np.stack([pairs >> _SYMBOL, pairs & ((1 << _SYMBOL) - 1)], 1))
+        s[at] = (which + top).astype(np.uint32)
+        top += len(pairs)
         keep = np.ones(len(s), bool)
         keep[at + 1] = False
-        s[at] = symbol[slot[at]]
         s = s[keep]
-    return (np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)), s
+    return _used(np.concatenate(rules), s, vocabulary) if rules else (np.zeros((0, 2), np.int64), s)
 
 
-def spans(rules: np.ndarray, vocabulary: int) -> np.ndarray:
-    """How many ids each rule expands to."""
-    n = np.ones(len(rules), np.int64)
-    for k, (a, b) in enumerate(rules.tolist()):
-        n[k] = (n[a - vocabulary] if a >= vocabulary else 1) + (n[b - vocabulary] if b >= vocabulary else 1)
-    return n
+def _used(rules: np.ndarray, s: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
+    """Without rules that nothing refers to: neighbours may have taken all places of a pair."""
+    live = np.zeros(len(rules), bool)
+    live[s[s >= vocabulary].astype(np.int64) - vocabulary] = True
+    for k in range(len(rules) - 1, -1, -1):
+        if live[k]:
+            for x in rules[k].tolist():
+                if x >= vocabulary:
+                    live[x - vocabulary] = True
+    if live.all():
+        return rules, s
+    to = np.append(np.arange(vocabulary), vocabulary + np.cumsum(live) - 1)
+    return to[rules[live]], to[s].astype(np.uint32)
 
 
 def expand(rules: np.ndarray, sequence: np.ndarray, vocabulary: int) -> np.ndarray:
+    """Ids of a sequence, level by level."""
     s = sequence.astype(np.int64)
     while len(s) and (big := s >= vocabulary).any():
         to = np.cumsum(1 + big) - 1 - big
@@ -86,10 +135,21 @@ def expand(rules: np.ndarray, sequence: np.ndarray, vocabulary: int) -> np.ndarr
     return s
 
 
+def spans(rules: np.ndarray, vocabulary: int) -> np.ndarray:
+    """How many ids each rule expands to."""
+    n: list[int] = []
+    for a, b in rules.tolist():
+        n.append((n[a - vocabulary] if a >= vocabulary else 1) + (n[b - vocabulary] if b >= vocabulary else 1))
+    return np.array(n, np.int64)
+
+
 def pack(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, vocabulary: int) -> bytes:
     rules, s = compress(ids, vocabulary)
+    n = spans(rules, vocabulary)
+    size = np.append(np.ones(vocabulary, np.int64), n)[s]
+    marks = (np.cumsum(size) - size)[::STEP]
     wide = "<u2" if vocabulary + len(rules) < 65536 else "<u4"
-    parts = [doc_ids.astype("<i8"), lengths.astype("<u4"), rules.astype("<u4"), spans(rules, vocabulary).astype("<u4"), s.astype(wide)]
+    parts = [doc_ids.astype("<i8"), lengths.astype("<i8"), rules.astype("<u4"), n.astype("<i8"), marks.astype("<i8"), s.astype(wide)]
     return _MAGIC + struct.pack("<5Q", vocabulary, len(doc_ids), len(rules), len(s), len(ids)) + b"".join(x.tobytes() for x in parts)
 
 
@@ -108,22 +168,35 @@ class Shard:
             at += x.nbytes
             return x
 
-        self.doc_ids, self.lengths = take("<i8", docs), take("<u4", docs).astype(np.int64)
-        self.rules, self.spans = take("<u4", 2 * rules).astype(np.int64).reshape(-1, 2), take("<u4", rules).astype(np.int64)
-        self.sequence = take("<u2" if self.vocabulary + rules < 65536 else "<u4", n).astype(np.int64)
+        self.doc_ids, self.lengths = take("<i8", docs), take("<i8", docs)
+        self.rules, self.spans = take("<u4", 2 * rules).astype(np.int64).reshape(-1, 2), take("<i8", rules)
+        self.marks = take("<i8", -(-n // STEP))
+        self.sequence = take("<u2" if self.vocabulary + rules < 65536 else "<u4", n)
 
     def ids(self) -> np.ndarray:
-        return expand(self.rules, self.sequence, self.vocabulary)
+        """All ids: each rule is expanded once, then symbols take their runs of ids."""
+        pool = np.append(np.arange(self.vocabulary), expand(self.rules, self.vocabulary + np.arange(len(self.rules)), self.vocabulary)).astype(np.uint32)
+        size = np.append(np.ones(self.vocabulary, np.int64), self.spans)
+        first = np.cumsum(size) - size
+        n = size[self.sequence]
+        at = np.arange(self.n_tokens)
+        at += np.repeat(first[self.sequence] - np.cumsum(n) + n, n)
+        return pool[at]
 
     def slice(self, start: int, length: int) -> np.ndarray:
-        """Ids start .. start + length, expanding only the symbols that cover them."""
-        size = np.ones(len(self.sequence), np.int64)
-        big = self.sequence >= self.vocabulary
-        size[big] = self.spans[self.sequence[big] - self.vocabulary]
-        ends = np.cumsum(size)
-        a, b = np.searchsorted(ends, start, "right"), np.searchsorted(ends, start + length, "left") + 1
-        skip = start - (int(ends[a - 1]) if a else 0)
-        return expand(self.rules, self.sequence[a:b], self.vocabulary)[skip : skip + length]
+        """Ids start .. start + length: from the marked symbol before them on, expanding only the symbols that cover them."""
+        if not length:
+            return np.zeros(0, np.int64)
+        a = (int(np.searchsorted(self.marks, start, "right")) - 1) * STEP
+        b = int(np.searchsorted(self.marks, start + length, "left")) * STEP
+        s = self.sequence[a:b].astype(np.int64)
+        size = np.ones(len(s), np.int64)
+        big = s >= self.vocabulary
+        size[big] = self.spans[s[big] - self.vocabulary]
+        ends = np.cumsum(size) + int(self.marks[a // STEP])
+        x, y = np.searchsorted(ends, start, "right"), np.searchsorted(ends, start + length, "left") + 1
+        skip = start - int(ends[x] - size[x])
+        return expand(self.rules, s[x:y], self.vocabulary)[skip : skip + length]
 
 
 #: A null doc_id in a shard.
@@ -136,29 +209,30 @@ def write_shards(docs: DataFrame, path: str, end_id: int, shard: int = SHARD) ->
 
     def run(batches):
         part, seq, base = TaskContext.get().partitionId(), 0, 0
-        coder = segments(path)
+        coder = pieces(path)
         from tokenizers import Tokenizer
 
-        vocabulary = Tokenizer.from_file(path).get_vocab_size()
-        end = np.array([end_id], "<u4").tobytes()
+        vocabulary = max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1)
+        end = np.array([end_id], np.uint32)
         ids, sizes, found, n = [], [], [], 0
 
         def flush():
-            tokens = np.frombuffer(b"".join(found), "<u4")
-            payload = pack(np.array(ids, np.int64), np.array(sizes, np.int64), tokens, max(vocabulary, end_id + 1))
-            return pa.record_batch([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([base], pa.int64()), pa.array([n], pa.int64()), pa.array([payload], pa.binary())], names=["part", "seq", "base", "n_tokens", "payload"])
+            payload = pack(np.array(ids, np.int64), np.array(sizes, np.int64), np.concatenate(found), vocabulary)
+            return pa.record_batch([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([base], pa.int64()), pa.array([n], pa.int64()), pa.array([payload], pa.large_binary())], names=["part", "seq", "base", "n_tokens", "payload"])
 
         for batch in batches:
-            for doc, text in zip(T.rows_with(batch, "doc_id").to_pylist(), T.rows_with(batch, "text"), strict=True):
-                data = coder.encode(text.as_py() or "") + end
-                ids.append(NO_ID if doc is None else doc)
-                sizes.append(len(data) // 4)
-                found.append(data)
-                n += sizes[-1]
-                if n >= shard:
-                    yield flush()
-                    seq, base = seq + 1, base + n
-                    ids, sizes, found, n = [], [], [], 0
+            doc_ids = T.rows_with(batch, "doc_id").to_pylist()
+            for a, b, all_ids, at in coder.column(T.rows_with(batch, "text")):
+                at = at.tolist()
+                for k in range(b - a):
+                    ids.append(NO_ID if doc_ids[a + k] is None else doc_ids[a + k])
+                    sizes.append(at[k + 1] - at[k] + 1)
+                    found += [all_ids[at[k] : at[k + 1]], end]
+                    n += sizes[-1]
+                    if n >= shard:
+                        yield flush()
+                        seq, base = seq + 1, base + n
+                        ids, sizes, found, n = [], [], [], 0
         if ids:
             yield flush()
 
@@ -175,7 +249,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 s = Shard(row["payload"])
-                ids = s.ids().astype("<u4")
+                ids = memoryview(s.ids().astype("<u4", copy=False))
                 ends = np.cumsum(s.lengths)
                 at = ends - s.lengths
                 crc = [zlib.crc32(ids[a:b]) for a, b in zip(at.tolist(), ends.tolist(), strict=True)]

@@ -13,6 +13,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from ledgerlake.llm import bpe, classlm, encode, graph, imatch, jaccard, language, licenses, neighbours, packing, repair, toxicity
 
@@ -72,9 +73,25 @@ def test_components_of_a_chain(spark):
 @given(st.text(max_size=60))
 def test_tree_bpe_is_bpe(t):
     k, c = coder()
-    ids = np.frombuffer(c.encode(t), "<u4")
+    ids = c.encode(t)
     assert ids.tolist() == k.encode_ordinary(t) and c.decode(ids) == t.encode()
-    assert np.frombuffer(encode.segments(P.path("byte_bpe_50k.json")).encode(t), "<u4").tolist() == ids.tolist()
+
+
+_PARTS = ["a", "B", " ", "  ", "\n", " \n", "\t", "'s", "'", "1", "23", ".", "é", "日", "\u00a0", "\u3000", "\x1c", "\x85", "<|endoftext|>", "<|end", "oftext|>", "😀", "don't", "\u2028"]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.one_of(st.sampled_from(_PARTS), st.text(max_size=3)), max_size=14).map("".join), min_size=1, max_size=6))
+def test_columns_encode_as_the_library_does(rows):
+    library, own = Tokenizer.from_file(P.path("byte_bpe_50k.json")), encode.pieces(P.path("byte_bpe_50k.json"))
+    got = [ids[x:y].tolist() for a, b, ids, at in own.column(pa.array(rows)) for x, y in zip(at[:-1], at[1:], strict=True)]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in rows]
+
+
+def test_strings_of_added_tokens_have_their_id():
+    own = encode.pieces(P.path("byte_bpe_50k.json"))
+    (_, _, ids, at), = own.column(pa.array(["x <|endoftext|> y", "<|endof", "text|>", None]))
+    assert ids[: at[1]].tolist() == [87, 220, 50256, 331] and 50256 not in ids[at[1] :] and at[3] == at[4]
 
 
 def test_tree_bpe_table(docs, empty):
@@ -96,6 +113,26 @@ def test_repair_round_trip(ids, data):
         assert s.slice(start, n).tolist() == a[start : start + n].tolist()
 
 
+def test_repair_goes_on_until_pairs_are_rare():
+    r = np.random.default_rng(9)
+    for ids in (np.tile(np.arange(1000), 600), np.zeros(50_000, int), r.zipf(1.3, 60_000) % 500, r.integers(0, 40_000, 5000)):
+        rules, s = repair.compress(ids, 50_000)
+        assert repair.expand(rules, s, 50_000).tolist() == ids.tolist()
+        # overlapping places of one pair of equal symbols are replaced by turns
+        left = Counter((a, b) for a, b in zip(s.tolist(), s[1:].tolist()) if a != b)
+        assert not left or max(left.values()) < repair.LEAST
+        assert set(range(50_000, 50_000 + len(rules))) <= set(s.tolist()) | set(rules.reshape(-1).tolist())
+
+
+def test_slices_start_at_marks():
+    r = np.random.default_rng(10)
+    ids = r.integers(0, 3000, 30_000)
+    s = repair.Shard(repair.pack(np.array([1]), np.array([len(ids)]), ids.astype(np.uint32), 3000))
+    assert len(s.marks) > 5 and s.ids().tolist() == ids.tolist()
+    for a, n in [(0, 1), (1023, 2), (1024, 1024), (29_999, 1), (0, 30_000), (5, 0), *((int(x), 700) for x in r.integers(0, 29_000, 20))]:
+        assert s.slice(a, n).tolist() == ids[a : a + n].tolist()
+
+
 def test_shards(docs, empty):
     k, _ = coder()
     got = sorted(map(tuple, repair.read_shards(repair.write_shards(docs, P.path("byte_bpe_50k.json"), 2, shard=3000)).collect()), key=lambda r: r[1])
