@@ -6,8 +6,10 @@ directions, attention pools the states and a logistic unit scores the window. Wi
 the whole text, whatever its length; the score of a text is that of its worst window.
 
 Training takes a bounded sample: the SAMPLE rows of either label with the least hash of doc_id among the rows that may
-be learnt from. Embeddings start from the log odds of a feature between the two labels; each round trains on the window
-that now scores highest in each text and on another one of each clean text.
+be learnt from, whole texts of any length. These stay on the executors, which count in how many of them each feature is;
+embeddings start from the log odds of a feature between the two labels. Of each text the TOP windows with the largest log
+odds go to the driver, and OTHERS more of a clean one (windows of more than MOST_BYTES are not learnt from); each round
+trains on the window that now scores highest of each text and on another one of each clean text.
 
 Null and empty texts score 0. Null labels are not learnt from; where rows of labels share a doc_id the larger label
 counts. Null doc_ids are not held out and are scored. If the sample lacks either label, all scores are 0. Other columns
@@ -23,9 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import textops as T
-from .common import id_crc, prepare
+from .common import id_crc, prepare, save
 
-SAMPLE, WINDOW, STRIDE = 1_200, 64, 48
+SAMPLE, WINDOW, STRIDE = 1_200, 64, 32
+#: Bounds of what is learnt from: windows of a text, and bytes of a window.
+TOP, OTHERS, MOST_BYTES = 3, 2, 8_192
 WORDS, GRAMS, DW, DC, H = 1 << 17, 1 << 15, 4, 6, 8
 THRESHOLD, LEAST, STEPS, DROP = 0.3, 4, 240, 0.3
 
@@ -42,7 +46,7 @@ def word_inputs(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[
     left[1:], right[:-1] = mid[:-1], mid[1:]
     left[at[:-1]], right[at[1:] - 1] = 1, 2
     code = (left << np.uint32(16)) | (mid << np.uint32(8)) | right
-    return (u >> np.uint64(64 - 17)).astype(np.int64), ((code * np.uint32(2654435761)) >> np.uint32(32 - 15)).astype(np.int64), at, back
+    return (u >> np.uint64(64 - 17)).astype(np.int32), ((code * np.uint32(2654435761)) >> np.uint32(32 - 15)).astype(np.int32), at, back
 
 
 def windows(at: np.ndarray, window: int = WINDOW, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -160,53 +164,86 @@ def _step_index(first: np.ndarray, length: np.ndarray, back: np.ndarray) -> np.n
     return back[first[None, :] + np.minimum(np.arange(steps)[:, None], length[None, :] - 1)]
 
 
-def train(texts: list[str], labels: np.ndarray, rounds: int = 6, batch: int = 128, rate: float = 0.01, seed: int = 5) -> Network | None:
-    """A network fitted to whole labelled texts, or None if one of the labels is missing."""
+def feature_counts(batches):
+    """(feature, n1, n0) of batches(text, y): texts of either label that hold each word bucket, or gram bucket (from WORDS on)."""
+    sums = np.zeros((2, WORDS + GRAMS), np.int64)
+    for batch in batches:
+        data, offsets = T.buffers(T.rows_with(batch, "text"))
+        label = T.rows_with(batch, "y").to_numpy(zero_copy_only=False) > 0
+        for a, b, d, o in T.chunks(data, offsets):
+            low, s, e, at = T.words(d, o)
+            if not len(s):
+                continue
+            bucket, gram, gram_at, back = word_inputs(low, s, e)
+            pairs = np.unique(np.repeat(np.arange(b - a), np.diff(at)) * len(bucket) + back)
+            row, word = pairs // len(bucket), pairs % len(bucket)
+            n = np.diff(gram_at)[word]
+            own = gram[np.arange(n.sum()) + np.repeat(gram_at[word] - np.cumsum(n) + n, n)]
+            for rows, feature in ((row, bucket[word]), (np.repeat(row, n), WORDS + own)):
+                code = np.unique(rows * (WORDS + GRAMS) + feature)
+                for y in (0, 1):
+                    sums[y] += np.bincount(code[label[a + code // (WORDS + GRAMS)] == y] % (WORDS + GRAMS), minlength=WORDS + GRAMS)
+    some = np.flatnonzero(sums.any(0))
+    yield pa.record_batch([pa.array(some), pa.array(sums[1][some]), pa.array(sums[0][some])], names=["feature", "n1", "n0"])
+
+
+def log_odds(f1: np.ndarray, f0: np.ndarray, n1: int, n0: int) -> tuple[np.ndarray, np.ndarray]:
+    """Log odds of features, and which are in at least LEAST texts; others have 0."""
+    often = f1 + f0 >= LEAST
+    return np.where(often, np.log((f1 + 0.5) / max(n1, 1)) - np.log((f0 + 0.5) / max(n0, 1)), 0.0).clip(-3, 6).astype(np.float32) / 3, often
+
+
+def likely_windows(batches, odds: np.ndarray, seed: int = 5):
+    """(text, y, window, strength) of batches(text_no, text, y): the TOP windows by log odds, OTHERS more of clean texts."""
+    for batch in batches:
+        data, offsets = T.buffers(T.rows_with(batch, "text"))
+        keys, label = T.rows_with(batch, "text_no").to_pylist(), T.rows_with(batch, "y").to_pylist()
+        for a, b, d, o in T.chunks(data, offsets):
+            low, s, e, at = T.words(d, o)
+            row, first, length = windows(at)
+            if not len(row):
+                continue
+            bucket, gram, gram_at, back = word_inputs(low, s, e)
+            one = odds[bucket] + np.add.reduceat(odds[WORDS + gram], gram_at[:-1]) / np.sqrt(np.diff(gram_at))
+            size = np.append(0, np.cumsum(e - s + 1))
+            fits = size[first + length] - size[first] <= MOST_BYTES
+            value = np.array([one[back[f : f + n]].max() for f, n in zip(first.tolist(), length.tolist(), strict=True)])
+            cut = np.searchsorted(row, np.arange(b - a + 1))
+            out = []
+            for k in range(b - a):
+                own = cut[k] + np.flatnonzero(fits[cut[k] : cut[k + 1]])
+                own = own[np.argsort(-value[own], kind="stable")]
+                more = np.random.default_rng([seed, keys[a + k] & 0xFFFFFFFF]).permutation(own[TOP:])[: 0 if label[a + k] else OTHERS]
+                out += [(keys[a + k], label[a + k], b" ".join(low[s[w] : e[w]].tobytes() for w in range(first[x], first[x] + length[x])).decode(), float(value[x])) for x in [*own[:TOP], *more]]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.int64(), pa.int32(), pa.string(), pa.float64()), strict=True)], names=["text_no", "y", "window", "strength"])
+
+
+def train(words: np.ndarray, text_of: np.ndarray, labels: np.ndarray, strength: np.ndarray, odds: np.ndarray, often: np.ndarray, rounds: int = 6, batch: int = 128, rate: float = 0.01, seed: int = 5) -> Network:
+    """A network fitted to windows (an Arrow array of words joined by spaces) of texts; `text_of` in order, labels by text."""
     labels = np.asarray(labels, np.float32)
-    data, offsets = T.buffers(pa.array(texts, pa.string()))
+    data, offsets = T.buffers(words)
     low, s, e, at = T.words(data, offsets)
-    row, first, length = windows(at)
-    if len(set(labels[np.diff(at) > 0].tolist())) < 2:
-        return None
+    first, length = at[:-1], np.diff(at)
     bucket, gram, gram_at, back = word_inputs(low, s, e)
+    del data, low, s, e
     net, r = Network(), np.random.default_rng(seed)
-    # log odds of a feature being in a text of either label
-    word_row = np.repeat(np.arange(len(labels)), np.diff(at))
-    pairs = np.unique(np.stack([word_row, back]), axis=1)
-    n1, n0 = max(1.0, labels.sum()), max(1.0, (1 - labels).sum())
-
-    def odds(rows: np.ndarray, feature: np.ndarray, size: int) -> np.ndarray:
-        code = np.unique(rows * size + feature)
-        y = labels[code // size]
-        f1, f0 = np.bincount(code % size, weights=y, minlength=size), np.bincount(code % size, weights=1 - y, minlength=size)
-        often = f1 + f0 >= LEAST
-        return np.where(often, np.log((f1 + 0.5) / n1) - np.log((f0 + 0.5) / n0), 0.0).clip(-3, 6), often
-
     # a feature of fewer texts than LEAST stays at zero, as does one that training never met
-    net.p["word"][:, 0], often_word = odds(pairs[0], bucket[pairs[1]], WORDS)
+    often_word, often_gram = often[:WORDS], often[WORDS:]
+    net.p["word"][:, 0], net.p["gram"][:, 0] = odds[:WORDS], odds[WORDS:]
     net.p["word"] *= often_word[:, None]
-    gram_n = np.diff(gram_at)
-    some = gram_n[pairs[1]]
-    gram_of = gram[np.arange(some.sum()) + np.repeat(gram_at[pairs[1]] - np.concatenate(([0], np.cumsum(some)[:-1])), some)]
-    net.p["gram"][:, 0], often_gram = odds(np.repeat(pairs[0], some), gram_of, GRAMS)
     net.p["gram"] *= often_gram[:, None]
-    net.p["word"][:, 0] /= 3
-    net.p["gram"][:, 0] /= 3
+    gram_n = np.diff(gram_at)
     # Adam on the dense parts; embeddings move by plain steps on the rows of a batch
     dense = [k for k in net.p if k not in ("word", "gram")]
     m1, m2, t = {k: np.zeros_like(net.p[k]) for k in dense}, {k: np.zeros_like(net.p[k]) for k in dense}, 0
-    cut = np.searchsorted(row, np.arange(len(labels) + 1))
+    cut = np.searchsorted(text_of, np.arange(len(labels) + 1))
     rows = np.flatnonzero(np.diff(cut))
-    strong = np.bincount(word_row, minlength=len(labels))
     rounds = max(rounds, -(-STEPS * batch // (len(rows) + int((labels[rows] == 0).sum()))))
     for k in range(rounds):
-        if k == 0:  # before the first round: the window with the largest log odds
-            one = net.p["word"][bucket, 0] + np.add.reduceat(net.p["gram"][gram, 0], gram_at[:-1]) / np.sqrt(gram_n)
-            value = np.array([one[back[f : f + n]].max() for f, n in zip(first.tolist(), length.tolist(), strict=True)])
-        else:
-            value = score_windows(net, net.inputs(bucket, gram, gram_at), back, first, length)
+        # before the first round: the window with the largest log odds
+        value = score_windows(net, net.inputs(bucket, gram, gram_at), back, first, length) if k else strength
         best = np.array([cut[i] + int(np.argmax(value[cut[i] : cut[i + 1]])) for i in rows])
-        other = np.array([r.integers(cut[i], cut[i + 1]) for i in rows if labels[i] == 0 and strong[i]], np.int64)
+        other = np.array([r.integers(cut[i], cut[i + 1]) for i in rows if labels[i] == 0], np.int64)
         chosen = np.concatenate([best, other])
         r.shuffle(chosen)
         for a in range(0, len(chosen), batch):
@@ -218,7 +255,7 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 6, batch: int = 12
             x = net.inputs(bucket[u], own, own_at)
             kept = np.repeat(r.random((len(u), 2)) > DROP, (DW, DC), axis=1) / np.float32(1 - DROP)  # a word is seen by one input only, or not at all
             x *= kept
-            g, dx, _ = net.gradients(x, inverse.reshape(index.shape), length[w], labels[row[w]])
+            g, dx, _ = net.gradients(x, inverse.reshape(index.shape), length[w], labels[text_of[w]])
             dx *= kept
             t += 1
             lr = rate * (0.5 if k >= rounds // 2 else 1.0)
@@ -265,12 +302,26 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, sam
     y = y.join(docs.select(F.col("doc_id").cast("long")), "doc_id", "left_semi")
     pick = lambda c: y.where(c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     chosen = pick("y > 0").unionByName(pick("y = 0"))
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").toArrow()
-    label = (rows["y"].to_numpy() > 0).astype(np.float32)
-    net = train([x or "" for x in rows["text"].to_pylist()], label)
-    if net is not None:  # from the sample's share of toxic rows to that of all labelled rows
-        n1, n = y.agg(F.count_if(F.col("y") > 0), F.count(F.lit(1))).first()
-        net.p["c"] += np.float32(np.log(n1 / (n - n1)) - np.log(label.sum() / (len(label) - label.sum())))
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id")  # at most two samples of ids
+    texts = save(texts.select(F.xxhash64("doc_id", "text").alias("text_no"), "text", "y"), "labelled")
+    n1, n0 = texts.agg(F.count_if(F.col("y") > 0), F.count_if(F.col("y") == 0)).first()
+    # a row for each bucket, however many texts
+    found = texts.select("text", "y").mapInArrow(feature_counts, "feature long, n1 long, n0 long").groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).toArrow()
+    f1, f0 = np.zeros(WORDS + GRAMS), np.zeros(WORDS + GRAMS)
+    f1[found["feature"].to_numpy()], f0[found["feature"].to_numpy()] = found["n1"].to_numpy(), found["n0"].to_numpy()
+    odds, often = log_odds(f1, f0, n1, n0)
+    shared = docs.sparkSession.sparkContext.broadcast(odds)  # one number for each bucket
+    picked = texts.mapInArrow(lambda batches: likely_windows(batches, shared.value), "text_no long, y int, window string, strength double").orderBy("text_no", F.desc("strength"), "window").toArrow()
+    picked = picked.combine_chunks()
+    keys, text_of = np.unique(picked["text_no"].to_numpy(), return_inverse=True)
+    label = np.zeros(len(keys), np.float32)
+    label[text_of] = picked["y"].to_numpy() > 0
+    if len(set(label.tolist())) < 2:
+        return None
+    net = train(picked["window"], text_of, label, picked["strength"].to_numpy(), odds, often)
+    # from the sample's share of toxic rows to that of all labelled rows
+    all_1, all_n = y.agg(F.count_if(F.col("y") > 0), F.count(F.lit(1))).first()
+    net.p["c"] += np.float32(np.log(all_1 / (all_n - all_1)) - np.log(n1 / n0))
     return net
 
 
