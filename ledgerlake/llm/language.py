@@ -34,6 +34,8 @@ TEMPER, SMOOTH = 60.0, 20.0
 #: How much less likely, in nats, a text with letters is to be of no known language.
 MARGIN = 15.0
 UNKNOWN = "und"
+#: Hosts that meet their rows by broadcast, at most.
+HOT = 1000
 #: Stands for all declarations without a model; no language has this name.
 OTHER = "?"
 TAG = r"^[a-z]{2,8}([-_][a-z0-9]{1,8})*$"
@@ -56,28 +58,47 @@ def _codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return ((code * np.uint32(2654435761)) >> np.uint32(32 - BITS)).astype(np.int64), np.searchsorted(at, offsets)
 
 
-def train(texts: list[str], labels: list[str], languages: list[str]) -> np.ndarray:
+def trigram_counts(batches):
+    """(l, counts) of batches(text, l): how often each trigram bucket occurs in the texts of a language, as packed integers."""
+    sums: dict[str, np.ndarray] = {}
+    for batch in batches:
+        data, offsets = T.buffers(T.rows_with(batch, "text"))
+        names = T.rows_with(batch, "l").to_pylist()
+        for a, b, d, o in T.chunks(data, offsets):
+            code, at = _codes(d, o)
+            for k in range(b - a):
+                c = np.bincount(code[at[k] : at[k + 1]], minlength=1 << BITS)
+                sums[names[a + k]] = c if names[a + k] not in sums else sums[names[a + k]] + c
+    yield pa.record_batch([pa.array(list(sums), pa.string()), pa.array([c.astype("<i8").tobytes() for c in sums.values()], pa.binary())], names=["l", "counts"])
+
+
+def added_counts(part: pa.Table) -> pa.Table:
+    """One row (l, counts) for the rows of a language."""
+    total = np.zeros(1 << BITS, np.int64)
+    for x in part["counts"]:
+        total += np.frombuffer(x.as_buffer(), "<i8")
+    return pa.table({"l": part["l"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+
+def ratios(counts: dict[str, np.ndarray], languages: list[str]) -> np.ndarray:
     """Log ratio of each trigram's probability in a language to its even share; the last column, und, is zero."""
     out = np.zeros((1 << BITS, len(languages) + 1), np.float32)
     used = np.zeros(1 << BITS, bool)
-    counts = []
-    of: dict[str, list[str]] = {name: [] for name in languages}
-    for t, x in zip(texts, labels, strict=True):
-        of[x].append(t)
-    for name in languages:
-        data, offsets = T.buffers(pa.array(of[name], pa.string()))
-        c = np.bincount(_codes(data, offsets)[0], minlength=1 << BITS).astype(float)
+    for c in counts.values():
         used |= c > 0
-        counts.append(c)
     even = 1.0 / max(1, used.sum())
-    for k, c in enumerate(counts):
-        p = (c + 0.02) / (c.sum() + 0.02 * (1 << BITS))
-        out[:, k] = np.log(p / even)
+    for k, name in enumerate(languages):
+        c = counts[name]
+        out[:, k] = np.log((c + 0.02) / (c.sum() + 0.02 * (1 << BITS)) / even)
     return out
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, label: str = "lang", key: str = "doc_id") -> tuple[list[str], np.ndarray]:
-    """Languages and trigram table from at most `sample` rows of each language that LEAST_ROWS rows declare."""
+    """Languages and trigram table from at most `sample` rows of each language that LEAST_ROWS rows declare.
+
+    Texts are counted where they lie; a table of counts for each language reaches the driver.
+    """
+    prepare(docs.sparkSession)
     lang = F.lower(F.trim(F.col(label)))
     d = docs.select(F.col(key).cast("long").alias("k"), lang.alias("l")).where("l is not null and k is not null and l <> '' and l <> 'und'")
     names = sorted(r["l"] for r in d.groupBy("l").count().where(F.col("count") >= LEAST_ROWS).select("l").collect())
@@ -86,8 +107,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE, label: str = "lang", key: str = "
     order = Window.partitionBy("l").orderBy(F.xxhash64("k"), "k")
     kept = F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in names], "l string"))  # a row for each language
     chosen = d.join(kept, "l").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample).select("k", "l")
-    rows = docs.select(F.col(key).cast("long").alias("k"), "text", lang.alias("l")).join(F.broadcast(chosen.distinct()), ["k", "l"]).orderBy("k", "text").toArrow()
-    return names, train([x or "" for x in rows["text"].to_pylist()], rows["l"].to_pylist(), names)
+    texts = docs.select(F.col(key).cast("long").alias("k"), "text", lang.alias("l")).join(F.broadcast(chosen.distinct()), ["k", "l"])  # ids of the samples
+    found = texts.select("text", "l").mapInArrow(trigram_counts, "l string, counts binary").groupBy("l").applyInArrow(added_counts, "l string, counts binary")
+    counts = {r["l"]: np.frombuffer(r["counts"], "<i8") for r in found.toLocalIterator()}
+    return names, ratios(counts, names)
 
 
 def text_evidence(column: pa.Array, table: np.ndarray) -> np.ndarray:
@@ -143,8 +166,14 @@ def identify(rows: DataFrame, languages: list[str], table: np.ndarray) -> DataFr
     lean = lambda own, up: F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: (F.get(own, i) + SMOOTH * F.get(up, i)) / (F.aggregate(own, F.lit(0.0), lambda a, b: a + b) + SMOOTH))
     array = F.array(*(F.col(f"n{i}") for i in range(k)))
     suffixes = sums(scored.groupBy("_s")).select("_s", lean(array, lit(prior)).alias("_sp"))
-    hosts = sums(scored.groupBy("_s", "_h")).select("_s", "_h", array.alias("_hn")).join(suffixes, "_s").select("_s", "_h", lean(F.col("_hn"), F.col("_sp")).alias("_hp"))
-    joined = scored.join(hosts, ["_s", "_h"]).join(worth, "_d", "left")
+    hosts = scored.groupBy("_s", "_h").agg(F.count(F.lit(1)).alias("_rows"), *(F.sum(F.col("soft")[i]).alias(f"n{i}") for i in range(k)))
+    hosts = save(hosts.select("_s", "_h", "_rows", array.alias("_hn")).join(suffixes, "_s").select("_s", "_h", "_rows", lean(F.col("_hn"), F.col("_sp")).alias("_hp")), "hosts")
+    # hosts with a thousandth of all rows or more are at most HOT: they meet their rows by broadcast, the others in a shuffle
+    n = hosts.agg(F.sum("_rows")).first()[0] or 0
+    often = hosts.where(F.col("_rows") * HOT >= n).select("_s", "_h", F.col("_hp").alias("_hot"))
+    with_hot = scored.join(F.broadcast(often), ["_s", "_h"], "left").join(worth, "_d", "left")
+    rare = with_hot.where("_hot is null").drop("_hot").join(hosts.where(F.col("_rows") * HOT < n).select("_s", "_h", "_hp"), ["_s", "_h"])
+    joined = with_hot.where("_hot is not null").withColumnRenamed("_hot", "_hp").unionByName(rare)
     fused = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.get("evidence", i) + F.get("_dv", i) + F.log(F.get("_hp", i)))
     joined = joined.withColumn("_f", fused).withColumn("_top", F.array_max("_f"))
     name_of = lambda c: F.element_at(F.array(*map(F.lit, names)), F.array_position(c, F.array_max(c)).cast("int"))
