@@ -15,8 +15,14 @@ from pyspark.sql.window import Window
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+#: Bytes of an Arrow batch on its way to a Python worker, at most (a longer row is a batch of its own).
+BATCH = 8 << 20
+
+
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers started from now on import this package where its folder exists."""
+    """Let Python workers started from now on import this package where its folder exists, and bound what they get at once."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
