@@ -253,6 +253,35 @@ def test_neighbours(spark):
     assert neighbours.search(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_equal_vectors_are_in_the_order_of_their_ids(spark):
+    r = np.random.default_rng(6)
+    v = r.standard_normal((900, 24))
+    v[r.integers(0, 900, 300)] = v[7]
+    rows = [(k, x.tolist()) for k, x in enumerate(v)]
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=250).toPandas()
+    for q, mine in got.groupby("query_id"):
+        mine = mine.sort_values("rank")
+        assert all((a > b) or (a == b and i < j) for a, b, i, j in zip(mine.score, mine.score[1:], mine.vec_id, mine.vec_id[1:]))
+        for i, s in zip(mine.vec_id, mine.score):
+            want = 0.0
+            for x, y in zip(v[i], v[q]):
+                want += x * y
+            assert s == want
+
+
+@pytest.mark.parametrize("scale", [1e38, 1e150, 1e-150])
+def test_vectors_of_any_finite_size(spark, scale):
+    r = np.random.default_rng(8)
+    v = r.standard_normal((300, 8))
+    rows = [(k, (x * scale).tolist()) for k, x in enumerate(v)]
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas()
+    s = v[::20] @ v.T
+    for j, q in enumerate(range(0, 300, 20)):
+        s[j, q] = -np.inf
+        mine = set(got[got.query_id == q].vec_id)
+        assert len(mine) == 20 and len(mine & set(np.argsort(-s[j])[:20])) >= 14
+
+
 def test_imatch(docs, empty):
     got = sorted(imatch.fingerprints(docs).collect(), key=lambda r: (r.doc_id, r.edited_sha256))
     rows = sorted(texts(docs))
