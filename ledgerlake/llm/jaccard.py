@@ -2,7 +2,9 @@
 
 1. `shared_counts` sends a 32-bit key of each distinct shingle to the bucket of its hash, in packed blocks, and counts
    how many of a text's shingles some other text may have too. A text needs 80 % of them to link with another one, so
-   the rest leaves here. A key that two shingles share by chance only keeps a text that could have left.
+   the rest leaves here. A key that two shingles share by chance only keeps a text that could have left. What repeats
+   inside a block is counted there and sent once, so a shingle of very many texts is a row for each block that has it;
+   the number of buckets grows with the bytes of text.
 2. What is left collapses by equal shingle sets into classes; a class of a million copies is one row from here on.
 3. Shingles are put in order (rarest first, then by hash); two classes that link share one of the first
    size - ceil(0.8 size) + 1. Shingles of one class only lead that order and can't match, so only the others of the
@@ -12,6 +14,9 @@
    expand to class pairs and are verified on whole sets. Pairs inside one component add nothing to components.
 No candidate is dropped: every pair that shares a posted shingle is verified, or already connected.
 
+Shingles are 64-bit hashes of words that are 64-bit hashes, and classes are known by a 64-bit hash of their set: by chance two
+of n distinct ones are equal with probability n * n / 2 ** 65, about 3 in 10 million for the classes of 10 ** 6 texts.
+
 Nulls and empty texts: no shingles, linked with nothing. A null doc_id takes no part and has a null component. Rows that
 share a doc_id count as one document with the links of all of them. Other columns are ignored.
 """
@@ -30,6 +35,8 @@ from .common import partitions, prepare, save
 from .graph import components
 
 SHINGLE, PERCENT = 5, 80
+#: Bytes of text whose shingles share a bucket, on average; shingles that are packed at once, at most.
+BUCKET_TEXT, BLOCK = 24 << 20, 3_000_000
 #: Ids up to this count are broadcast (16 MB); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -75,57 +82,74 @@ def shared_counts(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id, size, shared: an upper bound of how many of its shingles another row has."""
     spark = docs.sparkSession
     prepare(spark)
-    buckets = partitions(spark)
+    told = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(partitions(spark), -(-told // BUCKET_TEXT))
+    block = min(BLOCK, 2000 * buckets)
+
+    def packed(ids, sizes, sets):
+        """The record batch of some texts' shingles by bucket."""
+        n = sizes.astype(np.int64)
+        h, row = np.concatenate(sets), np.repeat(np.arange(len(ids), dtype=np.uint32), n)
+        # by bucket, and equal shingles side by side
+        order = np.lexsort((h, h % np.uint64(buckets)))
+        h, row = h[order], row[order]
+        same = h[1:] == h[:-1]
+        repeated = np.append(False, same) | np.append(same, False)
+        to = (h % np.uint64(buckets)).astype(np.int32)
+        sent = ~np.append(False, same)  # of a repeated shingle one, which is nobody's
+        nobody = np.uint16(65535) if len(ids) < 65535 else np.uint32(0xFFFFFFFF)
+        cut = np.searchsorted(to, np.arange(buckets + 1))
+        some = np.flatnonzero(np.diff(cut)).tolist()
+        out = [[] for _ in range(5)]
+        for k in some:
+            part = slice(cut[k], cut[k + 1])
+            u, back = np.unique(row[part], return_inverse=True)
+            mine, keep = repeated[part], sent[part]
+            place = np.where(mine, nobody, back.astype(type(nobody)))[keep].astype(type(nobody))
+            known = np.bincount(back[mine], minlength=len(u)).astype(np.int32)
+            for c, x in zip(out, (ids[u], sizes[u], known, place, (h[part][keep] >> np.uint64(32)).astype(np.uint32)), strict=True):
+                c.append(x.tobytes())
+        return pa.record_batch([pa.array(some, pa.int32()), *(pa.array(c, pa.binary()) for c in out)], names=["bucket", "ids", "sizes", "known", "rows", "keys"])
 
     def deal(batches):
+        ids, sizes, sets, n = [], [], [], 0
         for batch in batches:
-            ids = np.asarray(T.rows_with(batch, "doc_id").to_numpy(zero_copy_only=False), np.int64)
-            for a, b, sets in _sets(batch, size):
-                n = np.array([len(x) for x in sets], np.int64)
-                if not n.sum():
-                    continue
-                h = np.concatenate(sets)
-                to = (h % np.uint64(buckets)).astype(np.int32)
-                order = np.argsort(to, kind="stable")
-                row, key = np.repeat(np.arange(b - a, dtype=np.uint32), n)[order], (h >> np.uint64(32)).astype(np.uint32)[order]
-                cut = np.searchsorted(to[order], np.arange(buckets + 1))
-                some = [k for k in range(buckets) if cut[k] < cut[k + 1]]
-                rows = [np.unique(row[cut[k] : cut[k + 1]], return_inverse=True) for k in some]
-                yield pa.record_batch(
-                    [
-                        pa.array(some, pa.int32()),
-                        pa.array([ids[a:b][u].tobytes() for u, _ in rows], pa.binary()),
-                        pa.array([n[u].astype(np.int32).tobytes() for u, _ in rows], pa.binary()),
-                        pa.array([i.astype(np.uint16 if b - a <= 65536 else np.uint32).tobytes() for _, i in rows], pa.binary()),
-                        pa.array([key[cut[k] : cut[k + 1]].tobytes() for k in some], pa.binary()),
-                    ],
-                    names=["bucket", "ids", "sizes", "rows", "keys"],
-                )
+            own = np.asarray(T.rows_with(batch, "doc_id").to_numpy(zero_copy_only=False), np.int64)
+            for a, b, found in _sets(batch, size):
+                ids.append(own[a:b])
+                sizes.append(np.array([len(x) for x in found], np.int32))
+                sets += found
+                n += int(sizes[-1].sum())
+                if n >= block:
+                    yield packed(np.concatenate(ids), np.concatenate(sizes), sets)
+                    ids, sizes, sets, n = [], [], [], 0
+        if n:
+            yield packed(np.concatenate(ids), np.concatenate(sizes), sets)
 
     def count(part):
-        ids, sizes, rows, keys, base = [], [], [], [], 0
-        for r in part.select(["ids", "sizes", "rows", "keys"]).to_pylist():
+        ids, sizes, known, rows, keys, base = [], [], [], [], [], 0
+        for r in part.select(["ids", "sizes", "known", "rows", "keys"]).to_pylist():
             ids.append(np.frombuffer(r["ids"], np.int64))
             sizes.append(np.frombuffer(r["sizes"], np.int32))
+            known.append(np.frombuffer(r["known"], np.int32))
             keys.append(np.frombuffer(r["keys"], np.uint32))
-            wide = np.uint16 if len(r["rows"]) == 2 * len(keys[-1]) else np.uint32
-            rows.append(np.frombuffer(r["rows"], wide).astype(np.int64) + base)
+            own = np.frombuffer(r["rows"], np.uint16 if len(r["rows"]) == 2 * len(keys[-1]) else np.uint32)
+            rows.append(np.where(own == np.iinfo(own.dtype).max, -1, own.astype(np.int64) + base))
             base += len(ids[-1])
-        ids, sizes, rows, keys = map(np.concatenate, (ids, sizes, rows, keys))
+        ids, sizes, known, rows, keys = map(np.concatenate, (ids, sizes, known, rows, keys))
         order = np.argsort(keys, kind="stable")
         k = keys[order]
         same = k[1:] == k[:-1]
-        more = np.zeros(len(k), bool)
-        more[1:] |= same
-        more[:-1] |= same
-        n = np.bincount(rows[order[more]], minlength=base)
+        more = np.append(False, same) | np.append(same, False)
+        hit = rows[order[more]]
+        n = known + np.bincount(hit[hit >= 0], minlength=base)
         some = np.flatnonzero(n)
         ids, sizes, n = ids[some], sizes[some], n[some].astype(np.int32)
         # texts go on in packed slices: as rows there would be one for each text and bucket
         to = (T.mix(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(to, kind="stable")
         cut = np.searchsorted(to[order], np.arange(buckets + 1))
-        full = [k for k in range(buckets) if cut[k] < cut[k + 1]]
+        full = np.flatnonzero(np.diff(cut)).tolist()
         packed = lambda x: pa.array([x[order[cut[k] : cut[k + 1]]].tobytes() for k in full], pa.binary())
         return pa.table({"slice": pa.array(full, pa.int32()), "ids": packed(ids), "sizes": packed(sizes), "n": packed(n)})
 
@@ -136,7 +160,7 @@ def shared_counts(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
         first = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (sizes[1:] != sizes[:-1]))))
         return pa.table({"doc_id": ids[first], "size": sizes[first], "shared": np.add.reduceat(n[order].astype(np.int64), first)})
 
-    dealt = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(deal, "bucket int, ids binary, sizes binary, rows binary, keys binary")
+    dealt = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(deal, "bucket int, ids binary, sizes binary, known binary, rows binary, keys binary")
     hits = dealt.groupBy("bucket").applyInArrow(count, "slice int, ids binary, sizes binary, n binary")
     return hits.groupBy("slice").applyInArrow(total, "doc_id long, size int, shared long")
 
