@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import extraction, panel, retrieval
+from .plans import company, extraction, panel, retrieval, tools
 
-QUERIES = panel.QUERIES | retrieval.QUERIES | extraction.QUERIES
-ORACLES = panel.ORACLES | retrieval.ORACLES | extraction.ORACLES
+_PLANS = (panel, retrieval, extraction, company, tools)
+QUERIES = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
+ORACLES = {name: sql for plan in _PLANS for name, sql in plan.ORACLES.items()}

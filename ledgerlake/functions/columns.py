@@ -68,22 +68,33 @@ def parse_amount(cell: Column) -> Column:
     grouped = F.when(body.rlike(r"^\d{1,3}([.,]\d{3})+$") | body.rlike(r"^\d+$"), F.regexp_replace(body, "[.,]", ""))
     short = F.when(body.rlike(r"^\d+[.,]\d{1,2}$"), F.translate(body, ",", "."))
     value = F.coalesce(grouped, short).try_cast("double")
-    return F.when(s == "", F.lit(None).cast("double")).when(s.rlike(r"^[-–—_]+$"), 0.0).when(negative, -value).otherwise(value)
+    return F.when(s == "", F.lit(None).cast("double")).when(s.rlike(r"^[-–—_]$"), 0.0).when(negative, -value).otherwise(value)
+
+
+#: Wording of a figure by unit and language: before, factor, decimals, after. Fixed values.
+UNITS = {
+    "vnd": {"en": ("VND ", 1e-9, 0, " bn"), "vi": ("", 1e-9, 0, " tỷ đồng")},
+    "pct": {"en": ("", 100, 1, "%"), "vi": ("", 100, 1, "%")},
+    "pp": {"en": ("", 100, 1, " pp"), "vi": ("", 100, 1, " điểm %")},
+    "x": {"en": ("", 1, 2, "x"), "vi": ("", 1, 2, " lần")},
+    "days": {"en": ("", 1, 0, " days"), "vi": ("", 1, 0, " ngày")},
+    "pctile": {"en": ("percentile ", 100, 0, ""), "vi": ("phân vị ", 100, 0, "")},
+    "score": {"en": ("", 1, 2, ""), "vi": ("", 1, 2, "")},
+}
 
 
 def format_metric(value: Column, unit: Column, lang: str = "en") -> Column:
-    """A figure as a reader sees it, by unit: vnd, pct, pp, x, days, pctile, score."""
-    number = lambda v, d: F.format_number(v, d) if lang == "en" else F.translate(F.format_number(v, d), ",.", ".,")
-    en = lang == "en"
-    sign = F.when(value >= 0, "+").otherwise("")
-    return (
-        F.when(unit == "vnd", F.concat(F.lit("VND "), number(value / 1e9, 0), F.lit(" bn")) if en else F.concat(number(value / 1e9, 0), F.lit(" tỷ đồng")))
-        .when(unit.isin("pct", "pctile"), F.concat(number(value * 100, 1), F.lit("%")))
-        .when(unit == "pp", F.concat(sign, number(value * 100, 1), F.lit(" pp" if en else " điểm %")))
-        .when(unit == "x", F.concat(number(value, 2), F.lit("x" if en else " lần")))
-        .when(unit == "days", F.concat(number(value, 0), F.lit(" days" if en else " ngày")))
-        .otherwise(number(value, 2))
-    )
+    """A figure as a reader sees it, by unit: vnd, pct, pp (a difference, with its sign), x, days, pctile, score."""
+    out = None
+    for name, words in UNITS.items():
+        before, factor, places, after = words[lang]
+        scaled = value / 1e9 if factor == 1e-9 else value * factor
+        number = F.format_number(scaled, places)
+        number = number if lang == "en" else F.translate(number, ",.", ".,")
+        sign = F.when(value > 0, "+").otherwise("") if name == "pp" else F.lit("")
+        text = F.concat(F.lit(before), sign, number, F.lit(after))
+        out = F.when(unit == name, text) if out is None else out.when(unit == name, text)
+    return out
 
 
 def digit_share(text: Column) -> Column:

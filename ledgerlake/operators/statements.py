@@ -1,18 +1,19 @@
-"""Coded statement tables read from HTML: rows with spans laid out, code and amount columns, kind, unit.
+"""Coded statement tables read from HTML: rows with spans laid out, code and amount columns, kind, unit, report facts.
 
-Every step is a relation keyed by the document key and the number of the table in it, so a document with thousands of
-tables is thousands of rows, not one task. Only laying out the spans of one table is Python, a table at a time.
+Every step after finding the tables is a relation keyed by the document key and the number of the table in it. Only
+finding tables and laying out their spans is Python, a document at a time; a document it can't read gets an error text.
 """
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from ..functions.columns import fold, parse_amount
+from ..functions.columns import fold, parse_amount, relative_error, sum_with_head
 
 TABLE = r"(?is)<table.*?</table>"
 #: The HTML standard bounds both spans.
@@ -27,6 +28,15 @@ INCOME_TITLE = r"ket qua (hoat dong )?kinh doanh|income statement|profit (or|and
 CASH_TITLE = r"luu chuyen tien|cash flow|b ?03"
 INCOME_WORDS = r"doanh thu ban hang|doanh thu thuan|gia von|loi nhuan gop|chi phi ban hang|chi phi quan ly|thu nhap khac|lai co ban|lai suy giam|chi phi thue|net revenue|net sales|cost of|gross profit|selling expense|administrati|earnings per share|other income"
 CASH_WORDS = r"luu chuyen|khau hao|tien chi|tien thu|tang,? ?giam|\(tang\)|tien va (cac khoan )?tuong duong|cash flow|net cash|depreciation|payments? |proceeds|increase|decrease|cash and cash equivalents at"
+CONSOLIDATED, ENGLISH = r"hop nhat|consolidated", r"balance sheet|financial position|income statement"
+#: Total rows of a balance sheet that are printed without a code.
+TOTALS = [(r"^tong (cong )?tai san\b|^total assets", "270"), (r"^tong (cong )?nguon von\b|^total (resources|liabilities and)", "440")]
+#: Wordings that the key codes of a statement carry.
+KEY_LABELS = {
+    "IS": {"10": r"doanh thu thuan|net revenue|net sales|net turnover", "11": r"gia von|cost of", "20": r"loi nhuan gop|lo gop|gross", "50": r"truoc thue|before tax", "60": r"sau thue|after tax|net profit|profit for the"},
+    "BS": {"100": r"ngan han|current assets", "200": r"dai han|non-?current|long-?term", "270": r"tong (cong )?tai san|total assets", "300": r"no phai tra|liabilities", "400": r"von chu so huu|equity|nguon von", "440": r"tong (cong )?nguon von|total"},
+    "CF": {"20": r"hoat dong (san xuat,? ?)?kinh doanh|operating", "30": r"dau tu|investing", "40": r"tai chinh|financing"},
+}
 UNITS = [(r"ty (dong|vnd)|billion", 1e9), (r"trieu (dong|vnd)|million|vnd ?million|tr\.? ?d\b", 1e6), (r"(nghin|ngan|1\.000|1000) (dong|vnd)|thousand|'000", 1e3)]
 
 
@@ -61,7 +71,7 @@ class _Cells(HTMLParser):
 
 
 def laid_out(table: str | None) -> list[list[str]]:
-    """Rows of a table; a spanning cell has its text in its first place and blanks in the others; blank rows go."""
+    """Rows of a table; a spanning cell has its text in its first place and blanks in the others; rows without cells go."""
     parser = _Cells()
     parser.feed(table or "")
     parser.close()
@@ -79,26 +89,43 @@ def laid_out(table: str | None) -> list[list[str]]:
                 row.append("" if k else " ".join(text.split()))
         while len(row) in taken:
             row.append("")
-        if any(row):
+        if row:
             out.append(row)
     return out
 
 
-grid = F.udf(laid_out, ArrayType(ArrayType(StringType())), useArrow=True)
+#: Characters before a table that may hold its title and unit, and lines of them.
+BEFORE, LINES = 3000, 8
+_TABLE = re.compile(TABLE)
+
+
+def tables_in(text: str | None) -> tuple[list[tuple[str, int, list[list[str]]]], str | None]:
+    """(text before, line, rows) of each table with a row, and what went wrong if anything did."""
+    out = []
+    try:
+        line = done = 0
+        for m in _TABLE.finditer(text or ""):
+            line, done = line + text.count("\n", done, m.start()), m.start()
+            rows = laid_out(m.group())
+            if rows:
+                before = _TABLE.sub(" ", text[max(0, m.start() - BEFORE) : m.start()]).split("\n")
+                out.append((" // ".join([x.strip() for x in before if x.strip()][-LINES:]), line, rows))
+    except Exception as e:  # one unreadable document doesn't stop the others
+        return [], f"{type(e).__name__}: {e}"[:200]
+    return out, None
+
+
+_FOUND = StructType([StructField("before", StringType()), StructField("line", IntegerType()), StructField("rows", ArrayType(ArrayType(StringType())))])
+found_tables = F.udf(tables_in, StructType([StructField("tables", ArrayType(_FOUND)), StructField("error", StringType())]), useArrow=True)
 
 
 def table_rows(docs: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, table_no, context, row, cells) of every table; a null document has none.
+    """(key, table_no, context, line, row, cells) of every table; a null document has none.
 
-    `context` is the folded end of the text before the table, outside other tables: its last 8 lines that aren't blank.
+    `context` is the folded end of the text before the table, outside other tables: its last LINES lines that aren't blank.
     """
-    found = docs.select(key, F.split(html, TABLE).alias("between"), F.posexplode(F.regexp_extract_all(html, F.lit(TABLE), F.lit(0))).alias("table_no", "table"))
-    last = F.greatest(F.col("table_no") - 7, F.lit(0))
-    before = F.array_join(F.slice("between", last + 1, F.col("table_no") - last + 1), "\n")
-    lines = F.filter(F.split(F.expr("right(before, 3000)"), "\n"), lambda x: F.trim(x) != "")
-    found = found.select(key, "table_no", "table", before.alias("before")).withColumn("lines", lines)
-    tail = F.slice("lines", F.greatest(F.size("lines") - 7, F.lit(1)), 8)
-    return found.select(key, "table_no", fold(F.array_join(tail, " ")).alias("context"), F.posexplode(grid("table")).alias("row", "cells"))
+    found = docs.select(key, F.posexplode(found_tables(html)["tables"]).alias("table_no", "t"))
+    return found.select(key, "table_no", fold(F.col("t.before")).alias("context"), F.col("t.line").alias("line"), F.posexplode("t.rows").alias("row", "cells"))
 
 
 def _is_code(x: Column) -> Column:
@@ -120,11 +147,12 @@ def code_columns(rows: DataFrame, key: str) -> DataFrame:
 
 
 def coded_rows(rows: DataFrame, key: str) -> DataFrame:
-    """rows of tables that have a code column, with code (null where the row has none) and the folded label."""
+    """rows of tables that have a code column, with code (null where the row has none), the label's text and the folded label."""
     x = rows.join(code_columns(rows, key), [key, "table_no"])
     code = F.trim(F.get("cells", F.col("code_col")))
     words = F.filter("cells", lambda c, k: (k != F.col("code_col")) & (F.length(F.regexp_replace(c, r"[^\p{L}]", "")) >= 3))
-    return x.withColumn("code", F.when(code.rlike(CODE), code)).withColumn("label", fold(F.array_join(words, " ")))
+    x = x.withColumn("code", F.when(code.rlike(CODE), code)).withColumn("text", F.trim(F.array_join(words, " ")))
+    return x.withColumn("label", fold(F.col("text")))
 
 
 def value_columns(coded: DataFrame, key: str) -> DataFrame:
@@ -139,7 +167,7 @@ def value_columns(coded: DataFrame, key: str) -> DataFrame:
     heads = coded.where("row < 4 and code is null").join(pair, [key, "table_no"])
     text = lambda c: fold(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row", F.coalesce(F.get("cells", F.col(c)), F.lit("")).alias("t")))), lambda x: x["t"]), " "))
     heads = heads.groupBy(key, "table_no").agg(text("a").alias("ha"), text("b").alias("hb"))
-    year = lambda c: F.array_max(F.regexp_extract_all(c, F.lit(r"\b(20[0-3]\d)\b"), F.lit(1)))
+    year = lambda c: F.array_max(F.regexp_extract_all(c, F.lit(r"(?<!\d)(20[0-3]\d)(?!\d)"), F.lit(1)))
     x = pair.join(heads, [key, "table_no"], "left").withColumn("ya", year("ha")).withColumn("yb", year("hb"))
     hint = lambda c, p: F.coalesce(F.col(c).rlike(p), F.lit(False))
     first = F.when(F.col("ya") != F.col("yb"), F.col("ya") > F.col("yb")).when(hint("ha", OPENING) & hint("hb", CLOSING), False).when(hint("ha", CLOSING) & hint("hb", OPENING), True)
@@ -163,18 +191,91 @@ def kinds(coded: DataFrame, key: str) -> DataFrame:
     income = F.col("income") + F.when(says_income & ~says_cash, 2).otherwise(0)
     cash = F.col("cash") + F.when(says_cash & ~says_income, 2).otherwise(0)
     kind = F.when(F.col("n") < 3, None).when(F.col("three") >= 0.6 * F.col("n"), "BS").when(F.col("three") > 0.3 * F.col("n"), None).when(income + cash == 0, None).when(income > cash, "IS").otherwise("CF")
-    said = F.concat_ws(" ", "context", "top")
+    # a unit further up belongs to something else
+    said = F.concat_ws(" ", F.expr("right(context, 200)"), "top")
     unit = F.coalesce(*[F.when(said.rlike(p), F.lit(v)) for p, v in UNITS], F.lit(1.0))
-    return t.select(key, "table_no", kind.alias("kind"), unit.alias("unit"))
+    return t.select(key, "table_no", kind.alias("kind"), unit.alias("unit"), F.expr("right(context, 200)").alias("title"))
+
+
+def statement_tables(coded: DataFrame, key: str) -> DataFrame:
+    """(key, table_no, kind, cur_col, prev_col, unit, title, from_header) of tables that are statements; the last three are those of the first table of the kind."""
+    x = value_columns(coded, key).join(kinds(coded, key).where("kind is not null"), [key, "table_no"])
+    first = x.groupBy(key, "kind").agg(F.min_by(F.struct("unit", "title", "from_header"), "table_no").alias("first"))
+    return x.drop("unit", "title", "from_header").join(first, [key, "kind"]).select(key, "table_no", "kind", "cur_col", "prev_col", "first.*")
 
 
 def statement_lines(docs: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, statement, code, label, cur, prev, unit): of codes that a document repeats, the first in table and row order."""
-    rows = table_rows(docs, key, html)
-    coded = coded_rows(rows, key)
-    x = coded.where("code is not null").join(value_columns(coded, key), [key, "table_no"]).join(kinds(coded, key).where("kind is not null"), [key, "table_no"])
+    """(key, statement, code, label, cur, prev, unit): of codes that a document repeats, the first in table and row order.
+
+    Rows too short for both amounts are passed over. Total rows of a balance sheet without a code are known by their label.
+    """
+    coded = coded_rows(table_rows(docs, key, html), key)
+    return lines_of(coded, statement_tables(coded, key), key)
+
+
+def lines_of(coded: DataFrame, tables: DataFrame, key: str) -> DataFrame:
+    x = coded.join(tables, [key, "table_no"]).where(F.size("cells") > F.greatest("code_col", "cur_col", "prev_col"))
     at = lambda c: parse_amount(F.get("cells", F.col(c)))
     digits = F.regexp_extract("code", r"\d+", 0)
-    code = F.concat(F.when(F.length(digits) == 1, F.lpad(digits, 2, "0")).otherwise(digits), F.lower(F.regexp_extract("code", r"[a-zA-Z]?$", 0)))
-    x = x.select(key, F.col("kind").alias("statement"), code.alias("code"), F.struct("table_no", "row").alias("at"), F.struct("label", at("cur_col").alias("cur"), at("prev_col").alias("prev"), "unit").alias("line"))
-    return x.groupBy(key, "statement", "code").agg(F.min_by("line", "at").alias("line")).select(key, "statement", "code", "line.*")
+    printed = F.concat(F.when(F.length(digits) == 1, F.lpad(digits, 2, "0")).otherwise(digits), F.lower(F.regexp_extract("code", r"[a-zA-Z]?$", 0)))
+    total = F.coalesce(*[F.when((F.col("kind") == "BS") & F.col("label").rlike(p), F.lit(c)) for p, c in TOTALS])
+    x = x.select(key, F.col("kind").alias("statement"), F.coalesce(printed, total).alias("code"), F.struct("table_no", "row").alias("at"), F.struct(F.substring("text", 1, 80).alias("label"), at("cur_col").alias("cur"), at("prev_col").alias("prev"), "unit").alias("line"))
+    return x.where("code is not null").groupBy(key, "statement", "code").agg(F.min_by("line", "at").alias("line")).select(key, "statement", "code", "line.*")
+
+
+#: Codes that the identities read.
+IDENTITY_CODES = [(k, c) for k, cs in (("BS", "100 200 270 300 400 440"), ("IS", "10 11 20"), ("CF", "20 30 40 50")) for c in cs.split()]
+
+
+def checks(lines: DataFrame, key: str) -> DataFrame:
+    """A row for each document of lines(key, statement, code, label, cur, prev), in one aggregation: err_assets, err_funding,
+    err_balance, err_gross, err_cash, label_BS, label_IS, label_CF, n_BS, n_IS, n_CF.
+
+    An error is the larger relative gap of both columns, null where an amount is missing in both; a total that is lost
+    counts as the sum of its parts in err_balance. A label share is that of a statement's key codes that are there with
+    their wording.
+    """
+    at = lambda k, c: (F.col("statement") == k) & (F.col("code") == c)
+    amounts = [F.max(F.when(at(k, c), F.col(w))).alias(f"{k}{c}{w}") for k, c in IDENTITY_CODES for w in ("cur", "prev")]
+    hits = [F.max((at(k, c) & F.col("_label").rlike(p)).cast("int")).alias(f"hit_{k}{c}") for k, keys in KEY_LABELS.items() for c, p in keys.items()]
+    sizes = [F.count_if(F.col("statement") == k).cast("int").alias(f"n_{k}") for k in KEY_LABELS]
+    x = lines.withColumn("_label", fold(F.col("label"))).groupBy(key).agg(*amounts, *hits, *sizes)
+
+    def gaps(w: str) -> dict[str, Column]:
+        v = lambda k, c: F.col(f"{k}{c}{w}")
+        assets, funding = sum_with_head(v("BS", "100"), v("BS", "200")), sum_with_head(v("BS", "300"), v("BS", "400"))
+        gross = v("IS", "10") - F.abs(F.coalesce(v("IS", "11"), F.lit(0.0)))
+        return {
+            "err_assets": relative_error(v("BS", "270"), assets),
+            "err_funding": relative_error(v("BS", "440"), funding),
+            "err_balance": F.least(*[relative_error(a, f) for a in (v("BS", "270"), assets) for f in (v("BS", "440"), funding)]),
+            "err_gross": relative_error(v("IS", "20"), gross),
+            "err_cash": relative_error(v("CF", "50"), sum_with_head(v("CF", "20"), v("CF", "30"), v("CF", "40"))),
+        }
+
+    cur, prev = gaps("cur"), gaps("prev")
+    shares = [(sum(F.coalesce(F.col(f"hit_{k}{c}"), F.lit(0)) for c in keys) / F.lit(float(len(keys)))).alias(f"label_{k}") for k, keys in KEY_LABELS.items()]
+    return x.select(key, *[F.greatest(cur[n], prev[n]).alias(n) for n in cur], *shares, *[f"n_{k}" for k in KEY_LABELS])
+
+
+def identities(lines: DataFrame, key: str) -> DataFrame:
+    return checks(lines, key).select(key, "err_assets", "err_funding", "err_balance", "err_gross", "err_cash")
+
+
+def reports(docs: DataFrame, key: str, html: str) -> DataFrame:
+    """A row for each document: counts, flags, identities, label shares, units and number of lines of its statements, error."""
+    found = docs.select(key, F.substring(html, 1, 4000).alias("head"), found_tables(html).alias("f"))
+    base = found.select(key, fold(F.coalesce("head", F.lit(""))).alias("head"), F.coalesce(F.size("f.tables"), F.lit(0)).alias("n_tables"), F.col("f.error").alias("error"))
+    coded = coded_rows(table_rows(docs, key, html), key)
+    tables = statement_tables(coded, key)
+    lines = lines_of(coded, tables, key)
+    # titles in the order in which the kinds of statement begin
+    kinds_ = tables.groupBy(key, "kind").agg(F.min(F.struct("table_no", "title")).alias("t"), F.count(F.lit(1)).alias("n"))
+    titles = kinds_.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list("t")), lambda t: t["title"]), " ").alias("titles"), F.sum("n").cast("int").alias("n_coded_tables"))
+    units = lines.groupBy(key).agg(*[F.max(F.when(F.col("statement") == s, F.col("unit"))).alias(f"unit_{s}") for s in KEY_LABELS])
+    x = base
+    for part in (titles, units, checks(lines, key)):
+        x = x.join(part, key, "left")
+    said = F.coalesce("titles", F.lit(""))
+    x = x.withColumn("consolidated_title", F.concat_ws(" ", said, "head").rlike(CONSOLIDATED)).withColumn("english", said.rlike(ENGLISH)).drop("head", "titles")
+    return x.fillna(0, ["n_coded_tables", *[f"n_{s}" for s in KEY_LABELS]]).fillna(0.0, [f"label_{s}" for s in KEY_LABELS])

@@ -108,35 +108,35 @@ def feature_ratios(spark, d):
 
 def sector_year_median(spark, d):
     p = panel(spark, d)
-    return p.groupBy("sector", "year").agg(F.round(F.median("rev_g"), 5).alias("sector_rev_g"), F.count(F.lit(1)).alias("sector_n"))
+    sizes = p.groupBy("sector", "year").agg(F.count(F.lit(1)).alias("sector_n"))
+    return sizes.join(W.group_median(p, "rev_g", ["sector", "year"], "m"), ["sector", "year"], "left").select("sector", "year", F.round("m", 5).alias("sector_rev_g"), "sector_n")
 
 
 def pct_rank_in_sector(spark, d):
-    p = panel(spark, d).where("rev_g is not null")
-    return p.select("entity", "year", "sector", F.round(W.percent_of_ranks("rev_g", "sector", "year"), 6).alias("pct"))
+    x = W.with_ranks(panel(spark, d), "rev_g", ["sector", "year"])
+    return x.select("entity", "year", "sector", r("pct", 6))
 
 
 def peer_stats(spark, d):
-    p = panel(spark, d).where("rev_g is not null").withColumn("rev_g", F.round("rev_g", 8))
-    by = Window.partitionBy("sector", "year")
-    x = p.withColumn("n", F.count(F.lit(1)).over(by)).withColumn("below", F.cume_dist().over(by.orderBy("rev_g"))).withColumn("mid", F.median("rev_g").over(by))
-    return x.where("n >= 5").select("entity", "year", "n", r("below", 6), F.round("mid", 5).alias("sector_median"))
+    p = panel(spark, d).select("entity", "year", "sector", F.round("rev_g", 8).alias("rev_g"))
+    x = W.with_ranks(p, "rev_g", ["sector", "year"]).join(W.group_median(p, "rev_g", ["sector", "year"], "mid"), ["sector", "year"])
+    return x.where("peers >= 5").select("entity", "year", F.col("peers").alias("n"), F.round("share_below", 6).alias("below"), F.round("mid", 5).alias("sector_median"))
 
 
 def target_next_year(spark, d):
     x = yearly(spark, d).withColumn("after", W.lagged("revenue", 1))
     gap = F.abs(F.ln(F.col("after") / F.col("revenue")))
-    return x.select("entity", "year", F.round(F.when((F.col("after") > 0) & (F.col("revenue") > 0), F.ln(F.col("after") / F.col("revenue"))), 5).alias("target"), C.holds(gap > 1.25).alias("jump"), (C.holds(F.col("after") > 0) & ~C.holds(gap > 1.25)).alias("has_target"))
+    return x.select("entity", "year", F.round(F.when((F.col("after") > 0) & (F.col("revenue") > 0), F.ln(F.col("after") / F.col("revenue"))), 5).alias("target"), C.holds(gap > F.ln(F.lit(1.25))).alias("jump"), (C.holds(F.col("after") > 0) & ~C.holds(gap > F.ln(F.lit(1.25)))).alias("has_target"))
 
 
 def group_centered(spark, d):
-    x = with_growth(yearly(spark, d)).where("rev_g is not null").withColumn("y", C.clip(F.col("rev_g"), -1.0, 1.0))
-    return x.select("entity", "year", F.round(F.col("y") - F.median("y").over(Window.partitionBy("year")), 5).alias("centered"))
+    x = with_growth(yearly(spark, d)).where("rev_g is not null").select("entity", "year", C.clip(F.col("rev_g"), -1.0, 1.0).alias("y"))
+    return x.join(W.group_median(x, "y", ["year"], "mid"), "year").select("entity", "year", F.round(F.col("y") - F.col("mid"), 5).alias("centered"))
 
 
 def median_of_medians(spark, d):
-    p = panel(spark, d).where("rev_g is not null")
-    return p.groupBy("sector", "year").agg(F.median("rev_g").alias("m")).groupBy("year").agg(F.round(F.median("m"), 5).alias("market"))
+    m = W.group_median(panel(spark, d), "rev_g", ["sector", "year"], "m")
+    return m.groupBy("year").agg(F.round(F.median("m"), 5).alias("market"))  # a row for each sector
 
 
 def qcut_quintiles(spark, d):
@@ -163,15 +163,13 @@ def conformal_radius(spark, d):
 
 def coverage_by_group(spark, d):
     e = _errors(spark, d)
-    x = e.join(F.broadcast(W.conformal_radius(e, "err", ["vol"])), "vol")  # one row for each bin
+    x = W.with_radius(e, e, "err", "vol")
     return x.groupBy("vol").agg(F.round(F.avg((F.col("err") <= F.col("radius")).cast("double")), 6).alias("coverage"), F.count(F.lit(1)).alias("n"))
 
 
 def spearman_ic(spark, d):
-    x = with_growth(yearly(spark, d)).where("rev_g is not null").withColumn("g", F.round("rev_g", 8))
-    x = x.withColumn("a", W.average_rank("g", "year")).withColumn("b", W.average_rank("n_orders", "year"))
-    one = x.groupBy("year").agg(F.min("b").alias("lo"), F.max("b").alias("hi"), F.covar_pop("a", "b").alias("c"), F.stddev_pop("a").alias("sa"), F.stddev_pop("b").alias("sb"))
-    return one.where("lo < hi").select("year", F.round(C.safe_div(F.col("c"), F.col("sa") * F.col("sb")), 5).alias("ic"))
+    x = with_growth(yearly(spark, d)).where("rev_g is not null").select("entity", "year", F.round("rev_g", 8).alias("g"), "n_orders")
+    return W.rank_correlation(x, "g", "n_orders", "year").select("year", F.round("ic", 5).alias("ic"))
 
 
 def mae_rmse_baselines(spark, d):
@@ -224,17 +222,20 @@ def beneish_score(spark, d):
     for name, c in _components(x).items():
         x = x.withColumn(name, c)
     index = lambda c: F.coalesce(C.clip(F.col(c), 0.0, 10.0), F.lit(1.0))
-    score = -4.84 + 0.92 * index("dsri") + 0.892 * index("sgi") + 4.679 * C.clip(F.col("tata"), -1.0, 1.0)
+    # the indices that orders don't give are missing, so each of them counts as no change
+    score = -4.84 + 0.92 * index("dsri") + 0.892 * index("sgi") + 4.679 * C.clip(F.col("tata"), -1.0, 1.0) + (0.528 + 0.404 + 0.115 - 0.172 - 0.327)
     return x.select("entity", "year", F.round(F.when(F.col("tata").isNotNull() & F.col("sgi").isNotNull(), score), 5).alias("m_score"))
 
 
 def forecast_bounds(spark, d):
-    e = _errors(spark, d)
-    radius = W.conformal_radius(e, "err", ["vol"])
-    market = e.groupBy("year").agg(F.median("rev_g").alias("market"))
-    x = e.join(F.broadcast(radius), "vol").join(F.broadcast(market), "year")
-    mid = F.log1p(C.clip(F.col("market"), -0.9, 9.0))
-    bound = lambda s: F.round(F.expm1(mid + s * F.least(F.col("radius"), F.lit(1.0))), 5)
+    """Next year's growth as the market's median on the log scale, give or take the radius of the entity's volatility group."""
+    x = with_growth(yearly(spark, d)).withColumn("vol", W.right_closed(F.round(F.stddev_samp("rev_g").over(W.trailing()), 8), EDGES)).where("rev_g > -1")
+    x = x.withColumn("g", F.round(C.clip(F.log1p("rev_g"), -1.0, 1.0), 8)).select("entity", "year", "vol", "g")
+    market = W.group_median(x, "g", ["year"], "m")
+    errors = x.join(market, "year").withColumn("err", F.abs(F.round(F.col("g") - F.col("m"), 8)))
+    middle = market.agg(F.median("m").alias("middle"))  # one row, from a row for each year
+    x = W.with_radius(x, errors, "err", "vol").crossJoin(F.broadcast(middle))
+    bound = lambda sign: F.round(F.expm1(F.col("middle") + sign * F.col("radius")), 5)
     return x.select("entity", "year", bound(-1).alias("low"), bound(0).alias("mid"), bound(1).alias("high"))
 
 
@@ -249,10 +250,9 @@ def comparison_table(spark, d):
     return p.select("year", *(F.coalesce(F.format_number(F.col(str(k)), 0), F.lit("—")).alias(f"e{k}") for k in (1, 2, 4)))
 
 
-def cluster_bootstrap(spark, d, draws: int = 5):
-    """Entities drawn with replacement; how often each is drawn is a function of its key and the draw, so it is data."""
-    x = yearly(spark, d).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    x = x.withColumn("times", ((F.col("entity") * 7 + F.col("draw") * 13) % 3).cast("int")).where("times > 0")
+def cluster_bootstrap(spark, d):
+    """Revenue of each of 30 bootstrap draws of whole entities."""
+    x = W.bootstrap(yearly(spark, d), "entity", draws=30)
     return x.groupBy("draw").agg(F.sum("times").alias("n"), F.round(F.sum(F.col("revenue") * F.col("times")) / F.sum("times"), 2).alias("mean"))
 
 
@@ -298,7 +298,7 @@ ORACLES = {
     "sector_year_median": f"WITH {SECTOR} SELECT sector, year, round(median(rev_g), 5) AS sector_rev_g, count(*) AS sector_n FROM panel GROUP BY 1, 2",
     "pct_rank_in_sector": f"WITH {SECTOR}, k AS (SELECT * FROM panel WHERE rev_g IS NOT NULL) SELECT entity, year, sector, round({_RANKS.format(by='sector, year', v='rev_g')} / count(*) OVER (PARTITION BY sector, year), 6) AS pct FROM k",
     "peer_stats": f"WITH {SECTOR}, k AS (SELECT entity, year, sector, round(rev_g, 8) AS g FROM panel WHERE rev_g IS NOT NULL) SELECT entity, year, n, round(below, 6) AS below, round(mid, 5) AS sector_median FROM (SELECT entity, year, count(*) OVER (PARTITION BY sector, year) AS n, cume_dist() OVER (PARTITION BY sector, year ORDER BY g) AS below, median(g) OVER (PARTITION BY sector, year) AS mid FROM k) WHERE n >= 5",
-    "target_next_year": f"WITH {YEARLY} SELECT y.entity, y.year, round(CASE WHEN n.revenue > 0 AND y.revenue > 0 THEN ln(n.revenue / y.revenue) END, 5) AS target, coalesce(abs(ln(n.revenue / y.revenue)) > 1.25, false) AS jump, coalesce(n.revenue > 0, false) AND NOT coalesce(abs(ln(n.revenue / y.revenue)) > 1.25, false) AS has_target FROM yearly y LEFT JOIN yearly n ON n.entity = y.entity AND n.year = y.year + 1",
+    "target_next_year": f"WITH {YEARLY} SELECT y.entity, y.year, round(CASE WHEN n.revenue > 0 AND y.revenue > 0 THEN ln(n.revenue / y.revenue) END, 5) AS target, coalesce(abs(ln(n.revenue / y.revenue)) > ln(1.25::DOUBLE), false) AS jump, coalesce(n.revenue > 0, false) AND NOT coalesce(abs(ln(n.revenue / y.revenue)) > ln(1.25::DOUBLE), false) AS has_target FROM yearly y LEFT JOIN yearly n ON n.entity = y.entity AND n.year = y.year + 1",
     "group_centered": f"WITH {GROWTH}, k AS (SELECT entity, year, {_CLIP.format(x='rev_g', a=-1, b=1)} AS y FROM grown WHERE rev_g IS NOT NULL) SELECT entity, year, round(y - median(y) OVER (PARTITION BY year), 5) AS centered FROM k",
     "median_of_medians": f"WITH {SECTOR} SELECT year, round(median(m), 5) AS market FROM (SELECT sector, year, median(rev_g) AS m FROM panel WHERE rev_g IS NOT NULL GROUP BY 1, 2) GROUP BY 1",
     "qcut_quintiles": f"WITH {YEARLY}, v AS (SELECT entity, year, round(revenue, 2) AS revenue FROM yearly), e AS (SELECT year, list_distinct(quantile_cont(revenue, [0.2, 0.4, 0.6, 0.8])) AS e FROM v GROUP BY 1) SELECT entity, v.year, CAST(1 + len(list_filter(e, lambda x: x < revenue)) AS INTEGER) AS bucket FROM v JOIN e ON e.year = v.year",
@@ -312,11 +312,11 @@ ORACLES = {
     "latest_per_key": "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
     "full_outer_ratios": "SELECT o_custkey, n_big, n_open FROM (SELECT o_custkey, count(*) AS n_big FROM orders WHERE o_totalprice > 200000 GROUP BY 1) FULL JOIN (SELECT o_custkey, count(*) AS n_open FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) USING (o_custkey)",
     "risk_flags": f"WITH {GROWTH}, f AS (SELECT entity, year, unnest([CASE WHEN rev_g < -0.5 THEN 'growth_drop' END, CASE WHEN n_orders = 1 THEN 'one_order_year' END, CASE WHEN revenue > 0 AND largest / revenue > 0.8 THEN 'concentrated' END]) AS flag FROM grown) SELECT * FROM f WHERE flag IS NOT NULL",
-    "beneish_score": f"WITH {YEARLY}, k AS (SELECT y.entity, y.year, CASE WHEN p.revenue > 0 THEN y.revenue / p.revenue END AS sgi, CASE WHEN p.n_orders > 0 THEN y.n_orders::DOUBLE / p.n_orders END AS dsri, CASE WHEN y.revenue > 0 THEN y.largest / y.revenue END AS tata FROM yearly y LEFT JOIN yearly p ON p.entity = y.entity AND p.year = y.year - 1) SELECT entity, year, round(CASE WHEN tata IS NOT NULL AND sgi IS NOT NULL THEN -4.84 + 0.92 * coalesce(least(10.0, greatest(0.0, dsri)), 1.0) + 0.892 * least(10.0, greatest(0.0, sgi)) + 4.679 * greatest(-1.0, least(1.0, tata)) END, 5) AS m_score FROM k",
-    "forecast_bounds": f"WITH {_ERRORS}, m AS (SELECT year, median(rev_g) AS market FROM errors GROUP BY 1), k AS (SELECT entity, e.year, ln(1 + {_CLIP.format(x='market', a=-0.9, b=9)}) AS mid, least(radius, 1.0) AS r FROM errors e JOIN radii ON radii.vol = e.vol JOIN m ON m.year = e.year) SELECT entity, year, round(exp(mid - r) - 1, 5) AS low, round(exp(mid) - 1, 5) AS mid, round(exp(mid + r) - 1, 5) AS high FROM k",
+    "beneish_score": f"WITH {YEARLY}, k AS (SELECT y.entity, y.year, CASE WHEN p.revenue > 0 THEN y.revenue / p.revenue END AS sgi, CASE WHEN p.n_orders > 0 THEN y.n_orders::DOUBLE / p.n_orders END AS dsri, CASE WHEN y.revenue > 0 THEN y.largest / y.revenue END AS tata FROM yearly y LEFT JOIN yearly p ON p.entity = y.entity AND p.year = y.year - 1) SELECT entity, year, round(CASE WHEN tata IS NOT NULL AND sgi IS NOT NULL THEN -4.84 + 0.92 * CASE WHEN dsri IS NULL THEN 1.0 ELSE least(10.0, greatest(0.0, dsri)) END + 0.528 + 0.404 + 0.115 - 0.172 - 0.327 + 0.892 * least(10.0, greatest(0.0, sgi)) + 4.679 * greatest(-1.0, least(1.0, tata)) END, 5) AS m_score FROM k",
+    "forecast_bounds": f"WITH {GROWTH}, v AS (SELECT *, round(stddev_samp(rev_g) OVER (PARTITION BY entity ORDER BY year RANGE BETWEEN 2 PRECEDING AND CURRENT ROW), 8) AS s FROM grown), x AS (SELECT entity, year, round(greatest(-1::DOUBLE, least(1::DOUBLE, ln(1 + rev_g))), 8) AS g, CASE WHEN s IS NULL THEN 'none' WHEN s <= 0.05 THEN 'a' WHEN s <= 0.1 THEN 'b' WHEN s <= 0.2 THEN 'c' WHEN s <= 0.4 THEN 'd' ELSE 'e' END AS vol FROM v WHERE rev_g > -1), m AS (SELECT year, median(g) AS m FROM x GROUP BY 1), e AS (SELECT vol, abs(round(g - m, 8)) AS err FROM x JOIN m ON m.year = x.year), r AS (SELECT vol, err AS radius FROM (SELECT *, row_number() OVER (PARTITION BY vol ORDER BY err) AS k, count(*) OVER (PARTITION BY vol) AS n FROM e) WHERE k = least(ceil((n + 1) * 0.8::DOUBLE), n)), c AS (SELECT median(m) AS c FROM m) SELECT entity, year, round(exp(c - radius) - 1, 5) AS low, round(exp(c) - 1, 5) AS mid, round(exp(c + radius) - 1, 5) AS high FROM x JOIN r ON r.vol = x.vol, c",
     "metric_rows_format": f"WITH {YEARLY}, k AS (SELECT entity || '.concentration.' || year AS id, round(round(largest / revenue, 3) * 100, 1) AS p FROM yearly) SELECT id, replace(format('{{:.1f}}', p), '.', ',') || '%' AS vi, format('{{:.1f}}', p) || '%' AS en FROM k",
     "comparison_table": f"WITH {YEARLY}, k AS (SELECT year, " + ", ".join(f"round(sum(revenue) FILTER (entity = {k}), 2) AS e{k}" for k in (1, 2, 4)) + " FROM yearly WHERE entity IN (1, 2, 4) GROUP BY 1) SELECT year, " + ", ".join(f"coalesce(format('{{:,.0f}}', e{k}), '—') AS e{k}" for k in (1, 2, 4)) + " FROM k",
-    "cluster_bootstrap": f"WITH {YEARLY}, k AS (SELECT *, CAST((entity * 7 + draw * 13) % 3 AS INTEGER) AS times FROM yearly, (SELECT CAST(unnest(generate_series(0, 4)) AS INTEGER) AS draw)) SELECT draw, CAST(sum(times) AS BIGINT) AS n, round(sum(revenue * times) / sum(times), 2) AS mean FROM k WHERE times > 0 GROUP BY 1",
+    "cluster_bootstrap": f"WITH {YEARLY}, u AS (SELECT *, ('0x' || substr(md5(concat_ws('/', 'bootstrap', draw, entity)), 1, 7))::BIGINT / 268435456.0::DOUBLE AS u FROM yearly, (SELECT CAST(unnest(generate_series(0, 29)) AS INTEGER) AS draw)), k AS (SELECT *, (SELECT count(*) FROM (SELECT unnest([0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253]::DOUBLE[]) AS e) WHERE e <= u) AS times FROM u) SELECT draw, CAST(sum(times) AS BIGINT) AS n, round(sum(revenue * times) / sum(times), 2) AS mean FROM k WHERE times > 0 GROUP BY 1",
     "replace_by_key": "SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 10 = 0 THEN 2 ELSE 1 END AS version FROM orders",
     "union_concat": "SELECT k, count(*) AS n FROM (SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier) GROUP BY 1",
     "distinct_sets": "SELECT o_custkey, concat_ws(',', CASE WHEN bool_or(o_orderstatus = 'F') THEN 'F' END, CASE WHEN bool_or(o_orderstatus = 'O') THEN 'O' END) AS both, concat_ws(',', CASE WHEN NOT bool_or(o_orderstatus = 'F') THEN 'F' END, CASE WHEN NOT bool_or(o_orderstatus = 'O') THEN 'O' END) AS missing FROM orders GROUP BY 1",

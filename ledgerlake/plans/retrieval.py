@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import columns as C
-from ..sources.tables import parquet
+from ..operators import search as S
+from ..sources.tables import parquet, scratch
 
 
 def fold_text(spark, d):
@@ -65,71 +66,96 @@ def section_carry_forward(spark, d):
     return c.select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.col("turn")), True).over(w).alias("section"))
 
 
-def term_counts(spark, d) -> DataFrame:
-    """doc_id, term, tf of single words and pairs of neighbours; pairs are made per document, before any shuffle."""
-    x = parquet(spark, d, "documents").select("doc_id", C.tokens(F.col("text")).alias("t"))
-    pairs = F.when(F.size("t") > 1, F.zip_with(F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(1))), F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    return x.select("doc_id", F.explode(F.concat("t", pairs)).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+_indexes: dict[tuple[str, str], str] = {}
 
 
-def tfidf(spark, d) -> DataFrame:
-    """doc_id, term, weight: (1 + ln tf)(ln((1 + n) / (1 + df)) + 1), each document of length one."""
-    tf = term_counts(spark, d)
-    n = parquet(spark, d, "documents").select(F.count(F.lit(1)).alias("n"))
-    idf = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("term", (F.ln((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1).alias("idf"))  # n: one row
-    raw = tf.join(idf, "term").select("doc_id", "term", ((1 + F.ln("tf")) * F.col("idf")).alias("w"))
-    norm = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, "doc_id").select("doc_id", "term", (F.col("w") / F.col("norm")).alias("weight"), "w")
+def index(spark, d) -> S.Index:
+    """The index of all documents, written once in a session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _indexes:
+        path = scratch(spark)
+        S.Index.write(parquet(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), path)
+        _indexes[key] = path
+    return S.Index.read(spark, _indexes[key])
 
 
-def tfidf_weights(spark, d):
-    return tfidf(spark, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("terms"), F.round(F.max("weight"), 6).alias("top"), F.round(F.sum("weight"), 4).alias("total"))
+def questions(spark, d) -> DataFrame:
+    """q, text: every passage of the benchmark."""
+    return parquet(spark, d, "benchmark").select(F.col("item_id").alias("q"), "text")
+
+
+def vectors(spark, d) -> DataFrame:
+    return parquet(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+
 
+def gold(spark, d) -> DataFrame:
+    """q, id of documents that hold the passage whole."""
+    docs = parquet(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("t"))
+    q = questions(spark, d)
+    if q.limit(1001).count() > 1000:
+        raise ValueError("more than 1000 passages at once")
+    return docs.crossJoin(F.broadcast(q)).where(F.col("t").contains(F.col("text"))).select("q", "id")  # at most 1000 passages
 
-QUESTION = ["the", "of", "the and"]
+
+def tfidf_weights(spark, d):
+    return index(spark, d).postings.groupBy(F.col("id").alias("doc_id")).agg(F.count(F.lit(1)).alias("terms"), F.round(F.max("weight"), 6).alias("top"), F.round(F.sum("weight"), 4).alias("total"))
 
 
-def lexical_scores(spark, d):
-    q = spark.createDataFrame([(t,) for t in QUESTION], "term string")
-    x = tfidf(spark, d).join(F.broadcast(q), "term")  # the words of one question
-    return x.groupBy("doc_id").agg(F.round(F.sum("weight"), 8).alias("score")).where("score > 0")
+def _shown(x: DataFrame) -> DataFrame:
+    return x.select("q", "id", "rank", F.round("score", 6).alias("score"))
 
 
 def lexical_topk(spark, d):
-    return lexical_scores(spark, d).orderBy(F.desc("score"), "doc_id").limit(30)
+    """The 30 best documents for every passage of the benchmark."""
+    return _shown(S.lexical(index(spark, d), questions(spark, d)))
 
 
-def dense_scores(spark, d, query_id: int = 0):
-    e = parquet(spark, d, "embeddings")
-    q = e.where(F.col("vec_id") == query_id).select(F.col("embedding").alias("q")).limit(1)
-    return e.where(F.col("vec_id") != query_id).crossJoin(F.broadcast(q)).select(F.col("vec_id").alias("doc_id"), F.round(C.dot(F.col("embedding"), F.col("q")), 8).alias("score"))  # q: one row
+def lexical_filtered(spark, d):
+    """The same among documents in English; weights stay those of all documents."""
+    english = parquet(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"))
+    allowed = questions(spark, d).select("q").crossJoin(english)  # every passage may take every English document
+    return _shown(S.lexical(index(spark, d), questions(spark, d), 10, allowed))
 
 
 def dense_topk(spark, d):
-    return dense_scores(spark, d).orderBy(F.desc("score"), "doc_id").limit(30)
+    """The 30 nearest other vectors of every hundredth one."""
+    v = vectors(spark, d)
+    asked = v.where("id % 100 = 0").select(F.col("id").alias("q"), F.col("embedding").alias("vector"))
+    return _shown(S.best(S.dense(v, asked, S.CANDIDATES + 1).where("id <> q").drop("rank"), S.CANDIDATES))
 
 
-def fuse(*lists: DataFrame, k: int = 60) -> DataFrame:
-    """Sum of 1 / (k + rank) over ranked lists (doc_id, score) of at most a few dozen rows."""
-    ranked = [x.select("doc_id", (1.0 / (k + F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")))).alias("s")) for x in lists]
-    out = ranked[0]
-    for x in ranked[1:]:
-        out = out.unionByName(x)
-    return out.groupBy("doc_id").agg(F.round(F.sum("s"), 8).alias("score"))
+def _query_vectors(spark, d) -> DataFrame:
+    """A vector for each passage of the benchmark: the one with its number."""
+    return vectors(spark, d).join(questions(spark, d), F.col("id") == F.col("q")).select("q", F.col("embedding").alias("vector"))
 
 
 def hybrid_rrf(spark, d):
-    return fuse(dense_topk(spark, d), lexical_topk(spark, d)).orderBy(F.desc("score"), "doc_id").limit(6)
-
-
-def retrieval_eval(spark, d, k: int = 6):
-    """Recall and mean reciprocal rank of four questions; a hit has the label of the question."""
-    e = parquet(spark, d, "embeddings")
-    q = e.where("vec_id < 4").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe"), F.col("label").alias("gold"))  # four rows
-    x = e.where("vec_id >= 4").crossJoin(F.broadcast(q)).select("q", "gold", "label", "vec_id", F.round(C.dot(F.col("embedding"), F.col("qe")), 8).alias("s"))
-    top = x.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "vec_id"))).where(F.col("rank") <= k)
-    best = top.groupBy("q").agg(F.min(F.when(F.col("label") == F.col("gold"), F.col("rank"))).alias("rank"))
-    return best.agg(F.round(F.avg(F.col("rank").isNotNull().cast("double")), 6).alias("recall"), F.round(F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"))
+    """The six best of both rankings for every passage of the benchmark; a document and a vector are the same by number."""
+    x = S.search("hybrid", index(spark, d), questions(spark, d), vectors(spark, d), _query_vectors(spark, d))
+    return x.select("q", "id", "rank", F.round("score", 8).alias("score"))
+
+
+def retrieval_eval(spark, d):
+    """Recall and mean reciprocal rank of each mode over all passages; a hit holds the passage."""
+    q = questions(spark, d)
+    answers = gold(spark, d)
+    out = None
+    for mode in ("lexical", "dense", "hybrid"):
+        hits = S.search(mode, index(spark, d), q, vectors(spark, d), _query_vectors(spark, d))
+        one = S.evaluated(hits, answers, q.select("q")).select(F.lit(mode).alias("mode"), F.round("recall", 6).alias("recall"), F.round("mrr", 6).alias("mrr"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def recall_by_kind(spark, d):
+    """Mean recall by number of passages kept and by label of the question, for every hundredth vector; a hit has its label."""
+    v = vectors(spark, d)
+    asked = v.where("id % 100 = 0").select(F.col("id").alias("q"), F.col("embedding").alias("vector"), F.when(F.col("label") % 2 == 0, "even").otherwise("odd").alias("lang"), "label")
+    hits = S.best(S.dense(v, asked, 11).where("id <> q").drop("rank"), 10)
+    right = asked.select("q", "label").join(v.select("id", "label"), "label").select("q", "id")
+    of = lambda k: S.evaluated(hits.where(F.col("rank") <= k), right, asked.select("q", "lang"), "lang").withColumn("mode", F.lit(f"top {k}"))
+    x = S.by_language(of(1).unionByName(of(3)).unionByName(of(10)), ["even", "odd"])
+    return x.select("mode", F.round("even", 6).alias("even"), F.round("odd", 6).alias("odd"))
 
 
 def filled(claims: DataFrame, metrics: DataFrame) -> DataFrame:
@@ -179,16 +205,43 @@ def citation_numbering(spark, d):
     return first.select("conv_id", "role", F.dense_rank().over(Window.partitionBy("conv_id").orderBy("first", "role")).alias("number"))
 
 
-QUERIES = {f.__name__: f for f in (fold_text, parse_amounts, html_table_roundtrip, chrome_lines, page_digit_share, chunk_overlap, section_carry_forward, tfidf_weights, lexical_topk, dense_topk, hybrid_rrf, retrieval_eval, placeholder_fill, claim_checks, template_claims, citation_numbering)}
+QUERIES = {f.__name__: f for f in (fold_text, parse_amounts, html_table_roundtrip, chrome_lines, page_digit_share, chunk_overlap, section_carry_forward, tfidf_weights, lexical_topk, lexical_filtered, dense_topk, hybrid_rrf, retrieval_eval, recall_by_kind, placeholder_fill, claim_checks, template_claims, citation_numbering)}
 
 _TOKENS = """t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS t FROM documents),
 terms AS (SELECT doc_id, unnest(t) AS term FROM t UNION ALL SELECT doc_id, unnest(list_transform(generate_series(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1])) FROM t WHERE len(t) > 1),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 raw AS (SELECT doc_id, tf.term, (1 + ln(tf)) * (ln((1.0::DOUBLE + (SELECT count(*) FROM documents)) / (1.0::DOUBLE + df)) + 1) AS w FROM tf JOIN df ON df.term = tf.term),
 weights AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM raw)"""
-_LEXICAL = _TOKENS + ", lexical AS (SELECT doc_id, round(sum(weight), 8) AS score FROM weights WHERE term IN ('the', 'of', 'the and') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 30)"
+_LEXICAL = _TOKENS + """, idf AS (SELECT term, ln((1.0::DOUBLE + (SELECT count(*) FROM documents)) / (1.0::DOUBLE + df)) + 1 AS idf FROM df),
+qt AS (SELECT item_id AS q, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS t FROM benchmark),
+qterms AS (SELECT q, unnest(t) AS term FROM qt UNION ALL SELECT q, unnest(list_transform(generate_series(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1])) FROM qt WHERE len(t) > 1),
+qraw AS (SELECT q, c.term, (1 + ln(n)) * idf AS w FROM (SELECT q, term, count(*) AS n FROM qterms GROUP BY 1, 2) c JOIN idf ON idf.term = c.term),
+qw AS (SELECT q, term, w / sqrt(sum(w * w) OVER (PARTITION BY q)) AS asked FROM qraw),
+scores AS (SELECT q, doc_id AS id, round(sum(weight * asked), 8) AS score FROM weights JOIN qw ON qw.term = weights.term GROUP BY 1, 2),
+lexical AS (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS INTEGER) AS rank FROM scores WHERE score > 0)"""
 _DOT = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE))"
-_DENSE = f"dense AS (SELECT a.vec_id AS doc_id, round({_DOT}, 8) AS score FROM embeddings a, embeddings b WHERE b.vec_id = 0 AND a.vec_id <> 0 ORDER BY 2 DESC, 1 LIMIT 30)"
+_SIZE = "sqrt(list_sum(list_transform({v}.embedding, lambda p: p::DOUBLE * p::DOUBLE)))"
+_COSINE = f"round({_DOT} / ({_SIZE.format(v='a')} * {_SIZE.format(v='b')}), 8)"
+_NEAR = f"near AS (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS INTEGER) AS rank FROM (SELECT b.vec_id AS q, a.vec_id AS id, a.label, b.label AS own, {_COSINE} AS score FROM embeddings a, embeddings b WHERE b.vec_id % 100 = 0 AND a.vec_id <> b.vec_id))"
+_DENSE = f"dense AS (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS INTEGER) AS rank FROM (SELECT item_id AS q, a.vec_id AS id, {_COSINE} AS score FROM embeddings a, embeddings b JOIN benchmark ON item_id = b.vec_id))"
+_FUSED = "SELECT q, id, round(sum(1.0::DOUBLE / (60 + rank)), 10) AS score FROM ({lists}) GROUP BY 1, 2"
+_RANKED = "SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS INTEGER) AS rank FROM ({fused})"
+_LISTS = {"lexical": "SELECT q, id, rank FROM lexical WHERE rank <= 30", "dense": "SELECT q, id, rank FROM dense WHERE rank <= 30"}
+_LISTS["hybrid"] = " UNION ALL ".join(_LISTS.values())
+
+
+def _hits(mode: str) -> str:
+    return _RANKED.format(fused=_FUSED.format(lists=_LISTS[mode]))
+
+
+def _scored(mode: str) -> str:
+    return f"SELECT '{mode}' AS mode, round(avg((f IS NOT NULL)::INT::DOUBLE), 6) AS recall, round(avg(coalesce(1.0::DOUBLE / f, 0)), 6) AS mrr, count(*) AS n FROM (SELECT item_id, min(rank) FILTER (rank <= 6 AND g.id IS NOT NULL) AS f FROM benchmark LEFT JOIN ({_hits(mode)}) h ON h.q = item_id LEFT JOIN gold g ON g.q = h.q AND g.id = h.id GROUP BY 1)"
+
+
+def _kind(k: int) -> str:
+    return f"SELECT 'top {k}' AS mode, " + ", ".join(f"round(avg(hit) FILTER (label % 2 = {r}), 6) AS {n}" for r, n in ((0, "even"), (1, "odd"))) + f" FROM (SELECT q, any_value(own) AS label, max((label = own AND rank <= {k})::INT::DOUBLE) AS hit FROM near GROUP BY 1)"
+
+
 _CLAIM = "SELECT c_custkey AS claim_id, c_custkey % 4 = 0 AS gone, c_custkey % 3 = 0 AS typed, c_nationkey FROM customer"
 
 ORACLES = {
@@ -199,10 +252,12 @@ ORACLES = {
     "chunk_overlap": "WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\n\\t\\r]+'), lambda x: x <> '') AS w FROM documents), k AS (SELECT *, len(w) AS n, CASE WHEN len(w) <= 380 THEN len(w) ELSE ceil(len(w) / ceil(len(w) / 300.0::DOUBLE))::BIGINT END AS step FROM w WHERE len(w) > 0), c AS (SELECT doc_id, w, step, n, unnest(generate_series(0, n - 1, step)) AS i FROM k) SELECT doc_id, CAST(i // step AS INTEGER) AS chunk, CAST(least(i + step, n) - greatest(i - 50, 0) AS INTEGER) AS n, md5(array_to_string(w[greatest(i - 50, 0) + 1 : least(i + step, n)], ' ')) AS digest FROM c",
     "section_carry_forward": "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS section FROM conversations",
     "tfidf_weights": f"WITH {_TOKENS} SELECT doc_id, count(*) AS terms, round(max(weight), 6) AS top, round(sum(weight), 4) AS total FROM weights GROUP BY 1",
-    "lexical_topk": f"WITH {_LEXICAL} SELECT * FROM lexical",
-    "dense_topk": f"WITH {_DENSE} SELECT * FROM dense",
-    "hybrid_rrf": f"WITH {_LEXICAL}, {_DENSE}, r AS (SELECT doc_id, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, doc_id)) AS s FROM lexical UNION ALL SELECT doc_id, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, doc_id)) FROM dense) SELECT doc_id, round(sum(s), 8) AS score FROM r GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 6",
-    "retrieval_eval": f"WITH x AS (SELECT b.vec_id AS q, b.label AS gold, a.label, a.vec_id, round({_DOT}, 8) AS s FROM embeddings a, embeddings b WHERE b.vec_id < 4 AND a.vec_id >= 4), k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, vec_id) AS rank FROM x), h AS (SELECT q, min(CASE WHEN label = gold THEN rank END) AS rank FROM k WHERE rank <= 6 GROUP BY 1) SELECT round(avg((rank IS NOT NULL)::INTEGER::DOUBLE), 6) AS recall, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 6) AS mrr FROM h",
+    "lexical_topk": f"WITH {_LEXICAL} SELECT q, id, rank, round(score, 6) AS score FROM lexical WHERE rank <= 30",
+    "lexical_filtered": f"WITH {_LEXICAL} SELECT q, id, CAST(row_number() OVER (PARTITION BY q ORDER BY scores.score DESC, id) AS INTEGER) AS rank, round(scores.score, 6) AS score FROM scores JOIN documents ON doc_id = id WHERE lang = 'en' AND scores.score > 0 QUALIFY row_number() OVER (PARTITION BY q ORDER BY scores.score DESC, id) <= 10",
+    "dense_topk": f"WITH {_NEAR} SELECT q, id, rank, round(score, 6) AS score FROM near WHERE rank <= 30",
+    "hybrid_rrf": f"WITH {_LEXICAL}, {_DENSE} SELECT q, id, rank, round(score, 8) AS score FROM ({_hits('hybrid')}) WHERE rank <= 6",
+    "retrieval_eval": f"WITH {_LEXICAL}, {_DENSE}, gold AS (SELECT item_id AS q, doc_id AS id FROM documents, benchmark WHERE contains(documents.text, benchmark.text)) {' UNION ALL '.join(map(_scored, ('lexical', 'dense', 'hybrid')))}",
+    "recall_by_kind": f"WITH {_NEAR} {' UNION ALL '.join(map(_kind, (1, 3, 10)))}",
     "placeholder_fill": f"SELECT claim_id, 'Balance is ' || CASE WHEN gone THEN '{{{{c' || claim_id || '.gone}}}}' ELSE c_nationkey::VARCHAR END || CASE WHEN typed THEN ' or 12.5' ELSE '' END || '.' AS text FROM ({_CLAIM})",
     "claim_checks": f"SELECT claim_id, 'unknown metric' AS problem FROM ({_CLAIM}) WHERE gone UNION ALL SELECT claim_id, 'typed number' FROM ({_CLAIM}) WHERE typed",
     "template_claims": "SELECT o_custkey, count(*) FILTER (o_orderstatus = 'O') || ' open and ' || count(*) FILTER (o_orderstatus = 'P') || ' pending' AS text FROM orders GROUP BY 1 HAVING count(*) FILTER (o_orderstatus = 'O') > 0 AND count(*) FILTER (o_orderstatus = 'P') > 0",

@@ -18,15 +18,19 @@ def con():
     return c
 
 
+#: Queries whose results no SQL gives; tests/test_models.py holds them.
+WITHOUT_SQL = {"growth_models", "explanation_stability"}
+
+
 def test_every_query_has_sql():
-    assert not set(ORACLES) - set(QUERIES)
+    assert set(QUERIES) - set(ORACLES) == WITHOUT_SQL and set(ORACLES) <= set(QUERIES)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_rows(spark, con, name):
     df = QUERIES[name](spark, DATA)
     cols = sorted(df.columns)
-    got = sorted(map(repr, (tuple(r[c] for c in cols) for r in df.collect())))
-    want = con.execute(f"SELECT {', '.join(chr(34) + c + chr(34) for c in cols)} FROM ({ORACLES[name]})").fetchall()
     clean = lambda rows: sorted(repr(tuple(0.0 if isinstance(v, float) and v == 0 else v for v in r)) for r in rows)
-    assert clean(tuple(r[c] for c in cols) for r in df.collect()) == clean(want) and len(got) == len(want)
+    got = clean(tuple(r[c] for c in cols) for r in df.collect())
+    want = clean(con.execute(f"SELECT {', '.join(chr(34) + c + chr(34) for c in cols)} FROM ({ORACLES[name]})").fetchall())
+    assert got == want and len(got)
