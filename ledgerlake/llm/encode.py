@@ -22,10 +22,10 @@ import regex
 
 from . import textops as T
 
-#: Pieces kept by one Python worker, about 130 MB.
-KEPT = 600_000
+#: Pieces kept by one Python worker, about 65 MB.
+KEPT = 300_000
 #: Bytes of text that are encoded at once; a longer text is encoded alone.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 
 # Kinds of bytes: ASCII letter, space, other white space, other printable ASCII, first of a character that is no white space, any other.
 _LETTER, _SPACE, _BREAK, _SIGN, _WIDE, _ANY = range(6)
