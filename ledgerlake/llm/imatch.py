@@ -4,7 +4,7 @@ Terms are maximal runs of letters and digits, lower case. The lexicon holds the
 a band of the corpus, so of inverse document frequency too. REPEATS random permutations of the lexicon each hold four
 disjoint subsets that get fewer terms by a factor of four; a text's distinct terms in each subset are hashed as a set:
 the exclusive-or of their hashes, which like the hash of the sorted terms doesn't depend on their order. A fingerprint
-lists subset number and hash of the subsets that hold a term, or the hash of the text if none does.
+lists subset number and all 64 bits of the hash of the subsets that hold a term, or the hash of the text if none does.
 Likeness is the share of equal hashes among the subsets that have terms in either text; equal fingerprints have 1.
 
 The band starts at LOW of all documents, so the lexicon has at most (mean number of distinct terms of a document) / LOW
@@ -102,7 +102,7 @@ def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataF
     dealt = hashed.select(*of_text, F.explode(F.array(*each)).alias("e")).select(*of_text, _slot(F.col("e.first"), F.col("e.h")).alias("slot"), "e.h").where("slot is not null")
     # the exclusive-or of the hashes of distinct terms is the same for any order of them, as the hash of the sorted list is
     subsets = dealt.groupBy(*of_text, "slot").agg(F.bit_xor("h").alias("h"))
-    entry = F.when(F.col("slot") >= 0, F.concat(F.lpad(F.col("slot").cast("string"), 2, "0"), F.substring(F.hex("h"), -8, 8)))
+    entry = F.when(F.col("slot") >= 0, F.concat(F.lpad(F.col("slot").cast("string"), 2, "0"), F.hex("h")))
     texts = subsets.groupBy(*of_text).agg(F.sort_array(F.collect_list(entry)).alias("s"))
     texts = texts.select(*of_text, F.when(F.size("s") == 0, F.concat(F.lit("t"), F.substring("sha", 1, 16))).otherwise(F.array_join("s", ".")).alias("fp"))
     one = texts.groupBy("part", "at").agg(

@@ -296,6 +296,139 @@ def test_imatch(docs, empty):
     assert imatch.fingerprints(empty).count() == 0
 
 
+def _signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _spark_hash(spark, values):
+    """xxhash64(value, seed number) of terms, by Spark itself: the hash isn't what is tested."""
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    rows = df.select("v", *[F.xxhash64(F.xxhash64("v"), F.lit(r)).alias(f"h{r}") for r in range(imatch.REPEATS)]).collect()
+    return {x.v: [x[f"h{r}"] for r in range(imatch.REPEATS)] for x in rows}
+
+
+def test_imatch_by_brute_force(spark):
+    r = np.random.default_rng(12)
+    vocab = [f"t{k}" for k in range(400)]
+    texts = [" ".join(r.choice(vocab, 60)) for _ in range(40)]
+    texts += [texts[0], texts[1] + " extra", "common " * 30, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    low, high = 0.05, 0.5
+    got = {x.doc_id: x for x in imatch.fingerprints(docs, low, high).collect()}
+    n = len(texts)
+    terms = lambda t: sorted(set(re.findall(r"[^\W_]+", t.lower())))
+    df = Counter(w for t in texts for w in terms(t))
+    band = {w for w, c in df.items() if max(2, low * n) <= c <= max(2, high * n)}
+    hashes = _spark_hash(spark, sorted(band | {"x"}))
+
+    def fingerprint(t):
+        slots = {}
+        for w in terms(t):
+            if w in band:
+                for k, h in enumerate(hashes[w]):
+                    if h & 3 == 0:
+                        level = next((j for j in range(imatch.LEVELS - 1) if h & ((1 << 2 * j + 4) - 1)), imatch.LEVELS - 1)
+                        slots.setdefault(imatch.LEVELS * k + level, []).append(h)
+        if not slots:
+            return "t" + hashlib.sha256(t.encode()).hexdigest()[:16]
+        out = []
+        for s, hs in sorted(slots.items()):
+            x = 0
+            for h in sorted(hs):
+                x ^= h & ((1 << 64) - 1)
+            out.append(f"{s:02d}{x:X}")
+        return ".".join(out)
+
+    def like(a, b):
+        if a == b:
+            return 1.0
+        if a[0] == "t" or b[0] == "t":
+            return 0.0
+        x, y = set(a.split(".")), set(b.split("."))
+        return len(x & y) / len({e[:2] for e in x | y})
+
+    for k, t in enumerate(texts):
+        other = texts[(k + 1) % n]
+        h = len(t) // 2
+        edited = t[: len(t) - h] + other[:h]
+        want = (fingerprint(t), fingerprint(edited), like(fingerprint(t), fingerprint(edited)), like(fingerprint(t), fingerprint(other)))
+        assert (got[k].fingerprint, got[k].edited_fingerprint, pytest.approx(got[k].near_edited), pytest.approx(got[k].near_next)) == want, k
+
+
+def test_class_model_scores_by_brute_force(spark):
+    from ledgerlake.llm import textops as T
+
+    r = np.random.default_rng(13)
+    texts = [" ".join(f"v{int(x)}" for x in r.zipf(1.5, 40) % 30) for _ in range(80)] + ["", "never seen words v1"]
+    got = {x.doc_id: x.score for x in classlm.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), frequent=1000, classes=4).collect()}
+    train = [k for k in range(len(texts)) if zlib.crc32(str(k).encode()) % 7 != 2]
+    count = Counter(w for k in train for w in texts[k].split())
+    low, s, e, _ = T.words(*T.buffers(pa.array(sorted(count))))
+    hashes = dict(zip(sorted(count), T.hashes(low, s, e).tolist()))
+    number = {w: k for k, w in enumerate(sorted(count, key=lambda w: (-count[w], hashes[w])))}
+    n = len(number)
+    of_text = lambda t: [n + 1, *[number.get(w, n) for w in t.split()], n + 1]
+    table = np.zeros((n + 2, n + 2))
+    for k in train:
+        for a, b in zip(of_text(texts[k]), of_text(texts[k])[1:]):
+            table[a, b] += 1
+    of = classlm.exchange(table, 4)
+    c = int(of[-1]) + 1
+    moves = np.zeros((c, c))
+    for k in train:
+        for a, b in zip(of_text(texts[k]), of_text(texts[k])[1:]):
+            moves[of[a], of[b]] += 1
+    into = moves.sum(0) + 1 / c
+    p = (moves + 5 * into / into.sum()) / (moves.sum(1, keepdims=True) + 5)
+    assert np.allclose(p.sum(1), 1)
+    size = Counter()
+    for w, k in number.items():
+        size[of[k]] += count[w]
+    for k, t in enumerate(texts):
+        x = of_text(t)
+        want = sum(math.log10(p[of[a], of[b]]) for a, b in zip(x, x[1:])) + sum(math.log10(count[w] / size[of[number[w]]]) for w in t.split() if w in number)
+        assert got[k] == pytest.approx(want, abs=1e-6), k
+
+
+def test_language_evidence_by_brute_force(spark):
+    r = np.random.default_rng(14)
+    sets = {"aa": "abcde", "bb": "vwxyz"}
+    say = lambda n, k=30: " ".join("".join(r.choice(list(sets[n]), 5)) for _ in range(k))
+    train = spark.createDataFrame([(k, say(n), n) for j, n in enumerate(sets) for k in range(100 * j, 100 * j + 20)], "doc_id long, text string, lang string")
+    names, model = language.fit(train)
+    rows = [(k, say("aa" if k % 3 else "bb", 6), "aa" if k % 2 else None, ("h1", "h2", None)[k % 3], ("s", None)[k % 2], 7) for k in range(60)] + [(60, None, None, None, None, 7), (61, "", "bb", "h1", "s", 7), (62, "x" * 20_000 + say("bb"), "aa", "h9", "s", 7), (1, "abc", None, None, None, 7)]
+    df = spark.createDataFrame(rows, "k long, text string, declared string, host string, suffix string, lang_ int")
+    got = Counter((x.k, x.lang, round(x.confidence, 6), x.lang_) for x in language.identify(df, names, model).collect())
+    e = language.text_evidence(pa.array([x[1] for x in rows]), model)
+    soft = np.exp(e - e.max(1, keepdims=True))
+    soft /= soft.sum(1, keepdims=True)
+    n, k, s = len(rows), len(names) + 1, language.SMOOTH
+    total = soft.sum(0)
+    prior = (total + 1) / (total.sum() + k)
+    lean = lambda own, up: (own + s * up) / (own.sum() + s)
+    want = Counter()
+    for j, (key, _, d, h, x, _) in enumerate(rows):
+        own = lambda f, v: soft[[i for i in range(n) if f(rows[i]) == v]].sum(0)
+        up = lean(own(lambda q: q[4], x), prior)
+        host = lean(own(lambda q: (q[4], q[3]), (x, h)), up)
+        c = own(lambda q: q[2], d)
+        said = np.log((c + s * (c.sum() + 1) / (total.sum() + k)) / (total + s)) if d else 0
+        f = e[j] + said + np.log(host)
+        bare = not e[j].any() and not d and not h
+        want[key, language.UNKNOWN if bare else [*names, "und"][int(f.argmax())], round(1 / np.exp(f - f.max()).sum(), 6), 7] += 1
+    assert got == want
+    assert language.identify(df.limit(0), names, model).count() == 0
+
+
+def test_toxicity_keeps_clashing_columns_and_scores_long_and_repeated_texts(spark):
+    net = toxicity.Network()
+    docs = spark.createDataFrame([(1, LONG, 0.1), (2, LONG, 0.2), (2, LONG, 0.2), (3, None, 0.3)], "doc_id long, text string, other double")
+    got = toxicity.score(docs, net).collect()
+    assert len(got) == 4 and len({r.score for r in got if r.doc_id < 3}) == 1 and [r.score for r in got if r.doc_id == 3] == [0.0]
+
+
 def test_toxicity_learns_a_word(spark, empty):
     r = np.random.default_rng(2)
     vocab = [f"word{k}" for k in range(300)]
