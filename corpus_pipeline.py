@@ -31,19 +31,38 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose score is under the threshold; the network learns from labelled rows of docs."""
+    """Keeps documents whose score is under the threshold; the network learns from labelled rows of docs.
+
+    Null and empty texts score 0 and stay; equal texts have equal scores, so repeated rows stay or go together. Where docs
+    have no labels of both kinds, or are empty, nothing goes.
+    """
     net = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs.select(*COLUMNS), net).where(F.col("score") < toxicity.THRESHOLD).drop("score")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least doc_id of each group of linked ones; unlinked documents all stay."""
-    groups = jaccard.near_duplicates(docs).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(groups, "doc_id", "left_anti").select(*COLUMNS)
+    """Keeps of each group of linked documents the one with the least doc_id (null first, of several the least hash of the row).
+
+    A document is a doc_id with a text: different texts under one doc_id are documents of their own, and of rows that
+    repeat one all are linked, so one stays. Documents without a word are linked with nothing; of their repeats one stays,
+    too. An empty table stays empty.
+    """
+    keyed = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("_key"))
+    groups = jaccard.near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    ids = keyed.select("_key", "doc_id").distinct()
+    first = groups.join(ids, "_key").groupBy("component_id").agg(F.min(F.struct("doc_id", "_key")).alias("first")).select(F.col("first._key").alias("_key"))
+    kept = keyed.join(first, "_key", "left_semi")
+    # rows that repeat are few or none: only they are compared as a whole
+    again = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_key")
+    once = kept.join(again, "_key", "left_anti").unionByName(kept.join(again, "_key", "left_semi").dropDuplicates(["_key"]))
+    return once.select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents left, packed into sequences of at most 1024 ids."""
+    """Pieces of the documents left, packed into sequences of at most 1024 ids.
+
+    Null and empty texts are their end id; rows that share a doc_id are packed one by one; no documents give no pieces.
+    """
     return packing.pack(docs, vocabulary_path("byte_bpe_50k.json"))
 
 
