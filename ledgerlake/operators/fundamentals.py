@@ -230,7 +230,8 @@ def named(rows: DataFrame, columns: list[str]) -> DataFrame:
 def sector_positions(figures: DataFrame) -> DataFrame:
     """entity, year, m_pct_in_sector, accruals_pct_in_sector of usable rows(entity, year, sector, usable, m_score, accruals) with a score."""
     scored = figures.where(holds(F.col("usable")) & F.col("m_score").isNotNull())
-    one = lambda c, out: W.with_ranks(scored.select("entity", "year", "sector", c), c, ["sector", "year"]).select("entity", "year", F.col("pct").alias(out))
+    # the last bits of a sum are no difference between entities
+    one = lambda c, out: W.with_ranks(scored.select("entity", "year", "sector", F.round(c, 9).alias(c)), c, ["sector", "year"]).select("entity", "year", F.col("pct").alias(out))
     return one("m_score", "m_pct_in_sector").join(one("accruals", "accruals_pct_in_sector"), ["entity", "year"], "left")
 
 

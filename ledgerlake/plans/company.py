@@ -280,7 +280,7 @@ t2 AS MATERIALIZED (SELECT t1.*, list_avg(g3) AS rev_g_3y_mean, CASE WHEN len(g3
   coalesce(CASE WHEN c_custkey % 10 > 0 THEN c_mktsegment END, 'Không rõ') AS sector FROM t1 LEFT JOIN customer ON c_custkey = entity),
 s AS (SELECT sector, year, median(rev_g) AS sector_rev_g, count(*) AS sector_n FROM t2 WHERE usable GROUP BY 1, 2), m AS (SELECT year, median(rev_g) AS market_rev_g FROM t2 WHERE usable GROUP BY 1),
 panel AS MATERIALIZED (SELECT t2.*, sector_rev_g, sector_n, market_rev_g FROM t2 LEFT JOIN s ON s.sector = t2.sector AND s.year = t2.year LEFT JOIN m ON m.year = t2.year),
-risk AS (SELECT q.entity, q.year, sector, q.m_score, q.accruals FROM q JOIN panel ON panel.entity = q.entity AND panel.year = q.year WHERE usable AND q.m_score IS NOT NULL)"""
+risk AS (SELECT q.entity, q.year, sector, round(q.m_score, 9) AS m_score, round(q.accruals, 9) AS accruals FROM q JOIN panel ON panel.entity = q.entity AND panel.year = q.year WHERE usable AND q.m_score IS NOT NULL)"""
 
 
 def _position(v: str) -> str:
