@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textops as T
-from .common import prepare, save
+from .common import give_back, prepare, save
 
 SAMPLE, BITS = 400, 16
 #: Rows from which on a declared language has a model.
@@ -110,7 +110,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE, label: str = "lang", key: str = "
     texts = docs.select(F.col(key).cast("long").alias("k"), "text", lang.alias("l")).join(F.broadcast(chosen.distinct()), ["k", "l"])  # ids of the samples
     found = texts.select("text", "l").mapInArrow(trigram_counts, "l string, counts binary").groupBy("l").applyInArrow(added_counts, "l string, counts binary")
     counts = {r["l"]: np.frombuffer(r["counts"], "<i8") for r in found.toLocalIterator()}
-    return names, ratios(counts, names)
+    table = ratios(counts, names)
+    del counts
+    give_back()
+    return names, table
 
 
 def text_evidence(column: pa.Array, table: np.ndarray) -> np.ndarray:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import textops as T
-from .common import id_crc, prepare, save
+from .common import give_back, id_crc, prepare, save
 
 SAMPLE, WINDOW, STRIDE = 1_200, 64, 32
 #: Bounds of what is learnt from: windows of a text, and bytes of a window.
@@ -312,6 +312,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, sam
     odds, often = log_odds(f1, f0, n1, n0)
     shared = docs.sparkSession.sparkContext.broadcast(odds)  # one number for each bucket
     picked = texts.mapInArrow(lambda batches: likely_windows(batches, shared.value), "text_no long, y int, window string, strength double").orderBy("text_no", F.desc("strength"), "window").toArrow()
+    shared.unpersist()
     picked = picked.combine_chunks()
     keys, text_of = np.unique(picked["text_no"].to_numpy(), return_inverse=True)
     label = np.zeros(len(keys), np.float32)
@@ -319,6 +320,8 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, sam
     if len(set(label.tolist())) < 2:
         return None
     net = train(picked["window"], text_of, label, picked["strength"].to_numpy(), odds, often)
+    del picked, text_of, keys, odds, often, found, f1, f0
+    give_back()
     # from the sample's share of toxic rows to that of all labelled rows
     all_1, all_n = y.agg(F.count_if(F.col("y") > 0), F.count(F.lit(1))).first()
     net.p["c"] += np.float32(np.log(all_1 / (all_n - all_1)) - np.log(n1 / n0))
