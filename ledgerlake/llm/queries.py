@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, classlm, imatch, jaccard, language, licenses, neighbours, packing, repair, toxicity
+from . import bpe, classlm, imatch, jaccard, language, licenses, negatives, neighbours, packing, quality, repair, resampling, toxicity
 from .common import table
 
 
@@ -58,6 +58,18 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+def op12_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -75,8 +87,11 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_class_lm": op9_class_lm,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_quality_gam": op12_quality_gam,
+    "op13_resampling": op13_resampling,
     "pipeline": pipeline,
 }
 
-#: No operator of these can be written as SQL that DuckDB runs: tests hold them against brute force instead.
-ORACLES: dict[str, str] = {}
+#: The others can't be written as SQL that DuckDB runs: tests hold them against brute force instead.
+ORACLES: dict[str, str] = {"op11_hard_negatives": negatives.ORACLE, "op13_resampling": resampling.ORACLE}
