@@ -103,14 +103,23 @@ _stored: dict[tuple[str, str, str], str] = {}
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in spark.checkpoint.dir; in one of our own only where that is unset."""
+    """A new folder in spark.checkpoint.dir; a session on this machine alone may do without that setting, a cluster may not."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="ledgerlake-")
         atexit.register(shutil.rmtree, folder, True)
     return f"{folder.rstrip('/')}/ledgerlake-{uuid.uuid4().hex}"
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """Written once and read back: later steps depend neither on lost executors nor on computing it again."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stored(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """What `build` gives for a source, written once in a session and read back from then on.
 
