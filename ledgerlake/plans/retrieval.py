@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import columns as C
+from ..operators import passages as P
 from ..operators import search as S
-from ..sources.tables import parquet, scratch
+from ..operators import vectors as V
+from ..sources.tables import parquet, scratch, stored
 
 
 def fold_text(spark, d):
@@ -67,14 +69,16 @@ def section_carry_forward(spark, d):
 
 
 _indexes: dict[tuple[str, str], str] = {}
+#: Scores are compared to eight decimals here, so that sums in another order give the same ranks.
+PLACES = 8
 
 
 def index(spark, d) -> S.Index:
-    """The index of all documents, written once in a session."""
+    """The index of all documents, tagged by language, written once in a session."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _indexes:
         path = scratch(spark)
-        S.Index.write(parquet(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), path)
+        S.Index.write(parquet(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "lang"), path, tag="lang")
         _indexes[key] = path
     return S.Index.read(spark, _indexes[key])
 
@@ -88,51 +92,73 @@ def vectors(spark, d) -> DataFrame:
     return parquet(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
 
 
+def text_vectors(spark, d) -> DataFrame:
+    """id, embedding of every document, from its words."""
+    return stored(spark, d, "text_vectors", lambda: V.hashed(parquet(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id"))
+
+
+def question_vectors(spark, d) -> DataFrame:
+    return stored(spark, d, "question_vectors", lambda: V.hashed(questions(spark, d), "q", "vector"))
+
+
 def gold(spark, d) -> DataFrame:
     """q, id of documents that hold the passage whole."""
-    docs = parquet(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("t"))
-    q = questions(spark, d)
-    if q.limit(1001).count() > 1000:
-        raise ValueError("more than 1000 passages at once")
-    return docs.crossJoin(F.broadcast(q)).where(F.col("t").contains(F.col("text"))).select("q", "id")  # at most 1000 passages
+    return stored(spark, d, "gold", lambda: P.containing(parquet(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), questions(spark, d)))
+
+
+def gold_passages(spark, d):
+    """Which documents hold which passages of the benchmark."""
+    return gold(spark, d)
 
 
 def tfidf_weights(spark, d):
     return index(spark, d).postings.groupBy(F.col("id").alias("doc_id")).agg(F.count(F.lit(1)).alias("terms"), F.round(F.max("weight"), 6).alias("top"), F.round(F.sum("weight"), 4).alias("total"))
 
 
+def upserted_index(spark, d):
+    """Every seventh document is replaced by its neighbour's text, every eleventh deleted: term counts and idf of what is left."""
+    docs = parquet(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
+    part = docs.where("id % 7 = 0").select((F.col("id") - 1).alias("id"), "text", "lang").where("id >= 0")
+    path = scratch(spark)
+    now = S.Index.write(docs, path, tag="lang").upsert(part, "lang", delete=docs.where("id % 11 = 0 and id % 7 <> 6").select("id"))
+    found = now.postings.groupBy("id").agg(F.count(F.lit(1)).alias("terms"), F.round(F.max("weight"), 6).alias("top"), F.round(F.sum("weight"), 4).alias("total"))
+    return found.select("id", "terms", "top", "total", F.lit(now.size).cast("long").alias("texts"))
+
+
 def _shown(x: DataFrame) -> DataFrame:
     return x.select("q", "id", "rank", F.round("score", 6).alias("score"))
 
 
 def lexical_topk(spark, d):
     """The 30 best documents for every passage of the benchmark."""
-    return _shown(S.lexical(index(spark, d), questions(spark, d)))
+    return _shown(S.lexical(index(spark, d), questions(spark, d), places=PLACES))
 
 
 def lexical_filtered(spark, d):
     """The same among documents in English; weights stay those of all documents."""
-    english = parquet(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"))
-    allowed = questions(spark, d).select("q").crossJoin(english)  # every passage may take every English document
-    return _shown(S.lexical(index(spark, d), questions(spark, d), 10, allowed))
+    asked = questions(spark, d).withColumn("tags", F.array(F.lit("en")))
+    return _shown(S.lexical(index(spark, d), asked, 10, "tags", PLACES))
 
 
 def dense_topk(spark, d):
     """The 30 nearest other vectors of every hundredth one."""
     v = vectors(spark, d)
     asked = v.where("id % 100 = 0").select(F.col("id").alias("q"), F.col("embedding").alias("vector"))
-    return _shown(S.best(S.dense(v, asked, S.CANDIDATES + 1).where("id <> q").drop("rank"), S.CANDIDATES))
+    return _shown(S.best(S.dense(v, asked, S.CANDIDATES + 1, places=PLACES).where("id <> q").drop("rank"), S.CANDIDATES))
 
 
-def _query_vectors(spark, d) -> DataFrame:
-    """A vector for each passage of the benchmark: the one with its number."""
-    return vectors(spark, d).join(questions(spark, d), F.col("id") == F.col("q")).select("q", F.col("embedding").alias("vector"))
+def dense_filtered(spark, d):
+    """The 10 nearest vectors of every fiftieth one among those of two labels: the next and the one after."""
+    v = vectors(spark, d).withColumn("tag", F.col("label").cast("string"))
+    tags = F.array(*[((F.col("label") + k) % 10).cast("string") for k in (1, 2)])
+    asked = v.where("id % 50 = 0").select(F.col("id").alias("q"), F.col("embedding").alias("vector"), tags.alias("tags"))
+    return _shown(S.dense(v, asked, 10, "tag", PLACES))
 
 
 def hybrid_rrf(spark, d):
-    """The six best of both rankings for every passage of the benchmark; a document and a vector are the same by number."""
-    x = S.search("hybrid", index(spark, d), questions(spark, d), vectors(spark, d), _query_vectors(spark, d))
-    return x.select("q", "id", "rank", F.round("score", 8).alias("score"))
+    """The six best of both rankings for every passage of the benchmark; vectors are made of the words of texts."""
+    x = S.search("hybrid", index(spark, d), questions(spark, d), text_vectors(spark, d), question_vectors(spark, d), places=PLACES)
+    return x.select("q", "id", "rank", F.round("score", 6).alias("score"))
 
 
 def retrieval_eval(spark, d):
@@ -141,7 +167,7 @@ def retrieval_eval(spark, d):
     answers = gold(spark, d)
     out = None
     for mode in ("lexical", "dense", "hybrid"):
-        hits = S.search(mode, index(spark, d), q, vectors(spark, d), _query_vectors(spark, d))
+        hits = S.search(mode, index(spark, d), q, text_vectors(spark, d), question_vectors(spark, d), places=PLACES)
         one = S.evaluated(hits, answers, q.select("q")).select(F.lit(mode).alias("mode"), F.round("recall", 6).alias("recall"), F.round("mrr", 6).alias("mrr"), "n")
         out = one if out is None else out.unionByName(one)
     return out
@@ -151,7 +177,7 @@ def recall_by_kind(spark, d):
     """Mean recall by number of passages kept and by label of the question, for every hundredth vector; a hit has its label."""
     v = vectors(spark, d)
     asked = v.where("id % 100 = 0").select(F.col("id").alias("q"), F.col("embedding").alias("vector"), F.when(F.col("label") % 2 == 0, "even").otherwise("odd").alias("lang"), "label")
-    hits = S.best(S.dense(v, asked, 11).where("id <> q").drop("rank"), 10)
+    hits = S.best(S.dense(v, asked, 11, places=PLACES).where("id <> q").drop("rank"), 10)
     right = asked.select("q", "label").join(v.select("id", "label"), "label").select("q", "id")
     of = lambda k: S.evaluated(hits.where(F.col("rank") <= k), right, asked.select("q", "lang"), "lang").withColumn("mode", F.lit(f"top {k}"))
     x = S.by_language(of(1).unionByName(of(3)).unionByName(of(10)), ["even", "odd"])
@@ -205,7 +231,7 @@ def citation_numbering(spark, d):
     return first.select("conv_id", "role", F.dense_rank().over(Window.partitionBy("conv_id").orderBy("first", "role")).alias("number"))
 
 
-QUERIES = {f.__name__: f for f in (fold_text, parse_amounts, html_table_roundtrip, chrome_lines, page_digit_share, chunk_overlap, section_carry_forward, tfidf_weights, lexical_topk, lexical_filtered, dense_topk, hybrid_rrf, retrieval_eval, recall_by_kind, placeholder_fill, claim_checks, template_claims, citation_numbering)}
+QUERIES = {f.__name__: f for f in (fold_text, parse_amounts, html_table_roundtrip, chrome_lines, page_digit_share, chunk_overlap, section_carry_forward, tfidf_weights, upserted_index, gold_passages, lexical_topk, lexical_filtered, dense_topk, dense_filtered, hybrid_rrf, retrieval_eval, recall_by_kind, placeholder_fill, claim_checks, template_claims, citation_numbering)}
 
 _TOKENS = """t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS t FROM documents),
 terms AS (SELECT doc_id, unnest(t) AS term FROM t UNION ALL SELECT doc_id, unnest(list_transform(generate_series(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1])) FROM t WHERE len(t) > 1),
@@ -223,8 +249,11 @@ _DOT = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[
 _SIZE = "sqrt(list_sum(list_transform({v}.embedding, lambda p: p::DOUBLE * p::DOUBLE)))"
 _COSINE = f"round({_DOT} / ({_SIZE.format(v='a')} * {_SIZE.format(v='b')}), 8)"
 _NEAR = f"near AS (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS INTEGER) AS rank FROM (SELECT b.vec_id AS q, a.vec_id AS id, a.label, b.label AS own, {_COSINE} AS score FROM embeddings a, embeddings b WHERE b.vec_id % 100 = 0 AND a.vec_id <> b.vec_id))"
-_DENSE = f"dense AS (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS INTEGER) AS rank FROM (SELECT item_id AS q, a.vec_id AS id, {_COSINE} AS score FROM embeddings a, embeddings b JOIN benchmark ON item_id = b.vec_id))"
-_FUSED = "SELECT q, id, round(sum(1.0::DOUBLE / (60 + rank)), 10) AS score FROM ({lists}) GROUP BY 1, 2"
+_DENSE = """words AS (SELECT 0 AS asked, doc_id AS id, unnest(t) AS w FROM t UNION ALL SELECT 1, q, unnest(t) FROM qt), hashed AS (SELECT asked, id, ('0x' || substr(md5(w), 1, 7))::BIGINT AS h FROM words),
+hv AS MATERIALIZED (SELECT asked, id, h % 64 AS k, sum(CASE WHEN h // 64 % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS v FROM hashed GROUP BY 1, 2, 3), size AS (SELECT asked, id, sqrt(sum(v * v)) AS size FROM hv GROUP BY 1, 2 HAVING sum(v * v) > 0),
+dots AS (SELECT b.id AS q, a.id, sum(a.v * b.v) AS dot FROM hv a JOIN hv b ON a.k = b.k AND a.asked = 0 AND b.asked = 1 GROUP BY 1, 2),
+dense AS (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS INTEGER) AS rank FROM (SELECT b.id AS q, a.id, round(coalesce(dot, 0) / (a.size * b.size), 8) AS score FROM size a JOIN size b ON a.asked = 0 AND b.asked = 1 LEFT JOIN dots ON dots.q = b.id AND dots.id = a.id))"""
+_FUSED = "SELECT q, id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS score FROM ({lists}) GROUP BY 1, 2"
 _RANKED = "SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS INTEGER) AS rank FROM ({fused})"
 _LISTS = {"lexical": "SELECT q, id, rank FROM lexical WHERE rank <= 30", "dense": "SELECT q, id, rank FROM dense WHERE rank <= 30"}
 _LISTS["hybrid"] = " UNION ALL ".join(_LISTS.values())
@@ -252,10 +281,13 @@ ORACLES = {
     "chunk_overlap": "WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\n\\t\\r]+'), lambda x: x <> '') AS w FROM documents), k AS (SELECT *, len(w) AS n, CASE WHEN len(w) <= 380 THEN len(w) ELSE ceil(len(w) / ceil(len(w) / 300.0::DOUBLE))::BIGINT END AS step FROM w WHERE len(w) > 0), c AS (SELECT doc_id, w, step, n, unnest(generate_series(0, n - 1, step)) AS i FROM k) SELECT doc_id, CAST(i // step AS INTEGER) AS chunk, CAST(least(i + step, n) - greatest(i - 50, 0) AS INTEGER) AS n, md5(array_to_string(w[greatest(i - 50, 0) + 1 : least(i + step, n)], ' ')) AS digest FROM c",
     "section_carry_forward": "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS section FROM conversations",
     "tfidf_weights": f"WITH {_TOKENS} SELECT doc_id, count(*) AS terms, round(max(weight), 6) AS top, round(sum(weight), 4) AS total FROM weights GROUP BY 1",
+    "upserted_index": f"WITH documents AS (SELECT * FROM (SELECT doc_id - 1 AS doc_id, text FROM documents WHERE doc_id % 7 = 0 AND doc_id > 0 UNION ALL SELECT doc_id, text FROM documents WHERE doc_id + 1 NOT IN (SELECT doc_id FROM documents WHERE doc_id % 7 = 0 AND doc_id > 0) AND NOT (doc_id % 11 = 0 AND doc_id % 7 <> 6))), {_TOKENS} SELECT doc_id AS id, count(*) AS terms, round(max(weight), 6) AS top, round(sum(weight), 4) AS total, (SELECT count(*) FROM documents) AS texts FROM weights GROUP BY 1",
+    "gold_passages": "SELECT item_id AS q, doc_id AS id FROM documents, benchmark WHERE contains(documents.text, benchmark.text) AND benchmark.text <> ''",
+    "dense_filtered": f"SELECT q, id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank FROM (SELECT b.vec_id AS q, a.vec_id AS id, {_COSINE} AS score FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0 AND a.label IN ((b.label + 1) % 10, (b.label + 2) % 10))) WHERE rank <= 10",
     "lexical_topk": f"WITH {_LEXICAL} SELECT q, id, rank, round(score, 6) AS score FROM lexical WHERE rank <= 30",
     "lexical_filtered": f"WITH {_LEXICAL} SELECT q, id, CAST(row_number() OVER (PARTITION BY q ORDER BY scores.score DESC, id) AS INTEGER) AS rank, round(scores.score, 6) AS score FROM scores JOIN documents ON doc_id = id WHERE lang = 'en' AND scores.score > 0 QUALIFY row_number() OVER (PARTITION BY q ORDER BY scores.score DESC, id) <= 10",
     "dense_topk": f"WITH {_NEAR} SELECT q, id, rank, round(score, 6) AS score FROM near WHERE rank <= 30",
-    "hybrid_rrf": f"WITH {_LEXICAL}, {_DENSE} SELECT q, id, rank, round(score, 8) AS score FROM ({_hits('hybrid')}) WHERE rank <= 6",
+    "hybrid_rrf": f"WITH {_LEXICAL}, {_DENSE} SELECT q, id, rank, round(score, 6) AS score FROM ({_hits('hybrid')}) WHERE rank <= 6",
     "retrieval_eval": f"WITH {_LEXICAL}, {_DENSE}, gold AS (SELECT item_id AS q, doc_id AS id FROM documents, benchmark WHERE contains(documents.text, benchmark.text)) {' UNION ALL '.join(map(_scored, ('lexical', 'dense', 'hybrid')))}",
     "recall_by_kind": f"WITH {_NEAR} {' UNION ALL '.join(map(_kind, (1, 3, 10)))}",
     "placeholder_fill": f"SELECT claim_id, 'Balance is ' || CASE WHEN gone THEN '{{{{c' || claim_id || '.gone}}}}' ELSE c_nationkey::VARCHAR END || CASE WHEN typed THEN ' or 12.5' ELSE '' END || '.' AS text FROM ({_CLAIM})",
