@@ -7,8 +7,6 @@ so no task sorts a whole group.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -122,16 +120,41 @@ def rank_correlation(df: DataFrame, a: str, b: str, by: str) -> DataFrame:
     return one.where("sa > 0 and sb > 0").select(by, (F.col("c") / (F.col("sa") * F.col("sb"))).alias("ic"))
 
 
-#: Shares of units that a draw has at most 0, 1, 2 ... times (Poisson with mean 1).
-TIMES = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(8)]
+def _hex(text: Column, digits: int) -> Column:
+    """A whole number from the first digits of a text's md5."""
+    return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")
 
 
-def bootstrap(df: DataFrame, unit: str, draws: int, seed: str = "bootstrap") -> DataFrame:
-    """df once for each draw in which its unit occurs, with `draw` and `times`.
+def numbered_units(df: DataFrame, unit: str) -> DataFrame:
+    """(unit, number from 0) in the order of the units' md5; counted in 4,096 ranges of it, so no task sorts them all."""
+    units = df.select(F.col(unit).alias("unit")).where(F.col(unit).isNotNull()).distinct().withColumn("_h", F.md5(F.col("unit").cast("string"))).withColumn("_range", _hex(F.col("unit").cast("string"), 3))
+    sizes = units.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # 4,096 rows
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy("_h", "unit")) - 1
+    return units.withColumn("_in", inside).join(F.broadcast(before), "_range").select("unit", (F.col("_before") + F.col("_in")).alias("number"))
+
 
-    How often a unit occurs is Poisson distributed with mean 1, which is what drawing as many units as there are with
-    replacement tends to, and depends on seed, draw and unit alone: no list of units is built and a lost task draws alike.
+def bootstrap_times(df: DataFrame, unit: str, draws: int, seed: str = "bootstrap") -> DataFrame:
+    """(unit, draw, times): in each draw as many units as there are, drawn with replacement; those drawn at least once.
+
+    The j-th unit of a draw is the one whose number a hash of seed, draw and j names, so a lost task draws alike and no list of
+    units is sent anywhere: numbers are drawn, counted, and then met by their units.
     """
-    u = F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(seed), "draw", unit)), 1, 7), 16, 10).cast("double") / float(1 << 28)
-    x = df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    return x.withColumn("times", sum((u >= t).cast("int") for t in TIMES)).where("times > 0")
+    units = numbered_units(df, unit)
+    n = units.select(F.count(F.lit(1)).alias("_n"))
+    slots = units.crossJoin(F.broadcast(n)).select(F.col("number").alias("_j"), "_n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))  # n: one row
+    taken = slots.select("draw", (_hex(F.concat_ws("/", F.lit(seed), "draw", "_j"), 13) % F.col("_n")).alias("number")).groupBy("draw", "number").agg(F.count(F.lit(1)).alias("times"))
+    return taken.join(units, "number").select("unit", "draw", "times")
+
+
+def bootstrap(df: DataFrame, unit: str, draws: int, seed: str = "bootstrap") -> DataFrame:
+    """df once for each draw in which its unit occurs, with `draw` and `times`; rows without a unit are in none."""
+    times = bootstrap_times(df, unit, draws, seed).withColumnRenamed("unit", "_unit")
+    return df.join(times, F.col(unit) == F.col("_unit")).drop("_unit")
+
+
+def bootstrap_weights(df: DataFrame, unit: str, draws: int, seed: str = "bootstrap") -> DataFrame:
+    """df with `times`, an array of how often its unit occurs in each draw."""
+    per = bootstrap_times(df, unit, draws, seed).groupBy(F.col("unit").alias("_unit")).agg(F.map_from_entries(F.collect_list(F.struct("draw", "times"))).alias("_m"))  # an entry for each draw
+    each = F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda k: F.coalesce(F.try_element_at("_m", k), F.lit(0)))
+    return df.join(per, F.col(unit) == F.col("_unit"), "left").withColumn("times", each).drop("_unit", "_m")

@@ -256,6 +256,11 @@ def cluster_bootstrap(spark, d):
     return x.groupBy("draw").agg(F.sum("times").alias("n"), F.round(F.sum(F.col("revenue") * F.col("times")) / F.sum("times"), 2).alias("mean"))
 
 
+def bootstrap_times(spark, d):
+    """How often each draw takes each entity: every draw has as many as there are."""
+    return W.bootstrap_times(yearly(spark, d), "entity", draws=30)
+
+
 def replace_by_key(spark, d):
     from ..sources.tables import replaced
 
@@ -275,7 +280,7 @@ def distinct_sets(spark, d):
     return o.select("o_custkey", F.array_join(F.array_sort(F.array_intersect("s", want)), ",").alias("both"), F.array_join(F.array_sort(F.array_except(want, "s")), ",").alias("missing"))
 
 
-QUERIES = {f.__name__: f for f in (wide_pivot_priority, melt_long_roundtrip, select_best_per_group, group_flag_broadcast, identity_rel_err, semi_anti_membership, calendar_lag_growth, rolling3_mean_std, feature_ratios, sector_year_median, pct_rank_in_sector, peer_stats, target_next_year, group_centered, median_of_medians, qcut_quintiles, vol_bins, conformal_radius, coverage_by_group, spearman_ic, mae_rmse_baselines, walk_forward_counts, cagr_endpoints, latest_per_key, full_outer_ratios, risk_flags, beneish_score, forecast_bounds, metric_rows_format, comparison_table, cluster_bootstrap, replace_by_key, union_concat, distinct_sets)}
+QUERIES = {f.__name__: f for f in (wide_pivot_priority, melt_long_roundtrip, select_best_per_group, group_flag_broadcast, identity_rel_err, semi_anti_membership, calendar_lag_growth, rolling3_mean_std, feature_ratios, sector_year_median, pct_rank_in_sector, peer_stats, target_next_year, group_centered, median_of_medians, qcut_quintiles, vol_bins, conformal_radius, coverage_by_group, spearman_ic, mae_rmse_baselines, walk_forward_counts, cagr_endpoints, latest_per_key, full_outer_ratios, risk_flags, beneish_score, forecast_bounds, metric_rows_format, comparison_table, cluster_bootstrap, bootstrap_times, replace_by_key, union_concat, distinct_sets)}
 
 _RANKS = "(rank() OVER (PARTITION BY {by} ORDER BY {v}) + (count(*) OVER (PARTITION BY {by}, {v}) - 1) / 2.0)"
 _CLIP = "CASE WHEN {x} IS NOT NULL THEN greatest({a}::DOUBLE, least({b}::DOUBLE, {x})) END"
@@ -316,7 +321,8 @@ ORACLES = {
     "forecast_bounds": f"WITH {GROWTH}, v AS (SELECT *, round(stddev_samp(rev_g) OVER (PARTITION BY entity ORDER BY year RANGE BETWEEN 2 PRECEDING AND CURRENT ROW), 8) AS s FROM grown), x AS (SELECT entity, year, round(greatest(-1::DOUBLE, least(1::DOUBLE, ln(1 + rev_g))), 8) AS g, CASE WHEN s IS NULL THEN 'none' WHEN s <= 0.05 THEN 'a' WHEN s <= 0.1 THEN 'b' WHEN s <= 0.2 THEN 'c' WHEN s <= 0.4 THEN 'd' ELSE 'e' END AS vol FROM v WHERE rev_g > -1), m AS (SELECT year, median(g) AS m FROM x GROUP BY 1), e AS (SELECT vol, abs(round(g - m, 8)) AS err FROM x JOIN m ON m.year = x.year), r AS (SELECT vol, err AS radius FROM (SELECT *, row_number() OVER (PARTITION BY vol ORDER BY err) AS k, count(*) OVER (PARTITION BY vol) AS n FROM e) WHERE k = least(ceil((n + 1) * 0.8::DOUBLE), n)), c AS (SELECT median(m) AS c FROM m) SELECT entity, year, round(exp(c - radius) - 1, 5) AS low, round(exp(c) - 1, 5) AS mid, round(exp(c + radius) - 1, 5) AS high FROM x JOIN r ON r.vol = x.vol, c",
     "metric_rows_format": f"WITH {YEARLY}, k AS (SELECT entity || '.concentration.' || year AS id, round(round(largest / revenue, 3) * 100, 1) AS p FROM yearly) SELECT id, replace(format('{{:.1f}}', p), '.', ',') || '%' AS vi, format('{{:.1f}}', p) || '%' AS en FROM k",
     "comparison_table": f"WITH {YEARLY}, k AS (SELECT year, " + ", ".join(f"round(sum(revenue) FILTER (entity = {k}), 2) AS e{k}" for k in (1, 2, 4)) + " FROM yearly WHERE entity IN (1, 2, 4) GROUP BY 1) SELECT year, " + ", ".join(f"coalesce(format('{{:,.0f}}', e{k}), '—') AS e{k}" for k in (1, 2, 4)) + " FROM k",
-    "cluster_bootstrap": f"WITH {YEARLY}, u AS (SELECT *, ('0x' || substr(md5(concat_ws('/', 'bootstrap', draw, entity)), 1, 7))::BIGINT / 268435456.0::DOUBLE AS u FROM yearly, (SELECT CAST(unnest(generate_series(0, 29)) AS INTEGER) AS draw)), k AS (SELECT *, (SELECT count(*) FROM (SELECT unnest([0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253]::DOUBLE[]) AS e) WHERE e <= u) AS times FROM u) SELECT draw, CAST(sum(times) AS BIGINT) AS n, round(sum(revenue * times) / sum(times), 2) AS mean FROM k WHERE times > 0 GROUP BY 1",
+    "cluster_bootstrap": f"WITH {YEARLY}, n AS MATERIALIZED (SELECT entity, row_number() OVER (ORDER BY md5(entity::VARCHAR), entity) - 1 AS number, count(*) OVER () AS n FROM (SELECT DISTINCT entity FROM yearly)), t AS (SELECT draw, ('0x' || substr(md5(concat_ws('/', 'bootstrap', draw, number)), 1, 13))::BIGINT % n AS number, count(*) AS times FROM n, (SELECT CAST(unnest(generate_series(0, 29)) AS INTEGER) AS draw) GROUP BY ALL) SELECT draw, CAST(sum(times) AS BIGINT) AS n, round(sum(revenue * times) / sum(times), 2) AS mean FROM t JOIN n ON n.number = t.number JOIN yearly ON yearly.entity = n.entity GROUP BY 1",
+    "bootstrap_times": f"WITH {YEARLY}, n AS MATERIALIZED (SELECT entity, row_number() OVER (ORDER BY md5(entity::VARCHAR), entity) - 1 AS number, count(*) OVER () AS n FROM (SELECT DISTINCT entity FROM yearly)) SELECT draw, n.entity AS unit, times FROM (SELECT draw, ('0x' || substr(md5(concat_ws('/', 'bootstrap', draw, number)), 1, 13))::BIGINT % n AS number, count(*) AS times FROM n, (SELECT CAST(unnest(generate_series(0, 29)) AS INTEGER) AS draw) GROUP BY ALL) t JOIN n ON n.number = t.number",
     "replace_by_key": "SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 10 = 0 THEN 2 ELSE 1 END AS version FROM orders",
     "union_concat": "SELECT k, count(*) AS n FROM (SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier) GROUP BY 1",
     "distinct_sets": "SELECT o_custkey, concat_ws(',', CASE WHEN bool_or(o_orderstatus = 'F') THEN 'F' END, CASE WHEN bool_or(o_orderstatus = 'O') THEN 'O' END) AS both, concat_ws(',', CASE WHEN NOT bool_or(o_orderstatus = 'F') THEN 'F' END, CASE WHEN NOT bool_or(o_orderstatus = 'O') THEN 'O' END) AS missing FROM orders GROUP BY 1",

@@ -19,7 +19,7 @@ def con():
 
 
 #: Queries whose results no SQL gives; tests/test_models.py holds them.
-WITHOUT_SQL = {"growth_models", "explanation_stability"}
+WITHOUT_SQL = {"growth_models", "ridge_penalties", "explanation_stability"}
 
 
 def test_every_query_has_sql():

@@ -72,13 +72,6 @@ def test_rank_correlation_leaves_constants_out(spark):
     assert W.rank_correlation(x, "a", "c", "y").count() == 0
 
 
-def test_bootstrap_draws_units_with_replacement(spark):
-    x = spark.range(2000).select((F.col("id") % 500).alias("unit"))
-    got = W.bootstrap(x, "unit", 4).groupBy("draw", "unit").agg(F.min("times").alias("lo"), F.max("times").alias("hi"), F.count(F.lit(1)).alias("n")).collect()
-    assert all(r.lo == r.hi and r.n == 4 for r in got) and len({frozenset(r.unit for r in got if r.draw == d) for d in range(4)}) == 4
-    assert all(400 < sum(r.hi for r in got if r.draw == d) < 600 for d in range(4))
-
-
 def test_calendar_lag_skips_gaps(spark):
     x = spark.createDataFrame([("a", 2019, 1.0), ("a", 2021, 2.0), ("a", 2022, 3.0)], "entity string, year int, v double")
     assert [r.p for r in x.withColumn("p", W.lagged("v", -1)).orderBy("year").collect()] == [None, None, 2.0]
