@@ -22,13 +22,20 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 BATCH = 8 << 20
 
 
+#: How Python workers get memory: blocks of a megabyte and more go back to the system when they are freed, so a worker that
+#: waits for its next task doesn't hold what the last one needed.
+MEMORY = {"MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(1 << 20), "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers started from now on import this package where its folder exists, and bound what they get at once."""
+    """Let Python workers started from now on import this package where its folder exists, and bound what they get at once and keep."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > BATCH:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
+    for name, value in MEMORY.items():
+        env.setdefault(name, value)
 
 
 def give_back() -> None:
@@ -42,10 +49,12 @@ def give_back() -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of our own only where that is unset."""
+    """spark.checkpoint.dir of the session; a folder of our own only where that is unset and the session is on this machine alone."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     path = os.path.join(tempfile.gettempdir(), "ledgerlake-checkpoints")
     spark.sparkContext.setCheckpointDir(path)
     spark.conf.set("spark.checkpoint.dir", path)

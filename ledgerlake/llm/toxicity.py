@@ -297,13 +297,17 @@ def score_texts(net: Network | None, column: pa.Array) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, sample: int = SAMPLE) -> Network | None:
-    """Train on at most `sample` texts of either label whose crc32(doc_id) mod `modulus` is not `held`."""
+    """Train on at most `sample` ids of either label whose crc32(doc_id) mod `modulus` is not `held`, and 4 * `sample` different texts of theirs."""
+    prepare(docs.sparkSession)
     y = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("y")).where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y")).where(id_crc("doc_id") % modulus != held)
     y = y.join(docs.select(F.col("doc_id").cast("long")), "doc_id", "left_semi")
     pick = lambda c: y.where(c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     chosen = pick("y > 0").unionByName(pick("y = 0"))
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id")  # at most two samples of ids
-    texts = save(texts.select(F.xxhash64("doc_id", "text").alias("text_no"), "text", "y"), "labelled")
+    # rows that repeat are learnt from once; an id with very many texts doesn't bring them all
+    texts = texts.select(F.xxhash64("doc_id", "text").alias("text_no"), "text", "y").dropDuplicates(["text_no"])
+    texts = save(texts, "labelled")
+    texts = texts.join(F.broadcast(texts.select("text_no").orderBy("text_no").limit(4 * sample)), "text_no", "left_semi").select("text_no", "text", "y")
     n1, n0 = texts.agg(F.count_if(F.col("y") > 0), F.count_if(F.col("y") == 0)).first()
     # a row for each bucket, however many texts
     found = texts.select("text", "y").mapInArrow(feature_counts, "feature long, n1 long, n0 long").groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).toArrow()
