@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import company, extraction, growth, panel, retrieval, tools
+from .plans import company, exchange, extraction, growth, panel, reports, retrieval, tools
 
-_PLANS = (panel, retrieval, extraction, company, tools, growth)
+_PLANS = (panel, retrieval, extraction, company, tools, reports, exchange, growth)
 QUERIES = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
 ORACLES = {name: sql for plan in _PLANS for name, sql in plan.ORACLES.items()}
