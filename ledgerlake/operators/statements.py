@@ -1,7 +1,8 @@
 """Coded statement tables read from HTML: rows with spans laid out, code and amount columns, kind, unit, report facts.
 
 Every step after finding the tables is a relation keyed by the document key and the number of the table in it. Only
-finding tables and laying out their spans is Python, a document at a time; a document it can't read gets an error text.
+finding tables and laying out their spans is Python: each document is read once, its tables are written as rows, and lines,
+reports and checks read these. A document it can't read gets an error text.
 """
 
 from __future__ import annotations
@@ -9,11 +10,12 @@ from __future__ import annotations
 import re
 from html.parser import HTMLParser
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ..functions.columns import fold, parse_amount, relative_error, sum_with_head
+from ..sources.tables import saved
 
 TABLE = r"(?is)<table.*?</table>"
 #: The HTML standard bounds both spans.
@@ -99,33 +101,84 @@ BEFORE, LINES = 3000, 8
 _TABLE = re.compile(TABLE)
 
 
+def tables_of(text: str | None):
+    """(text before, line, rows) of each table with a row, one after the other."""
+    line = done = 0
+    for m in _TABLE.finditer(text or ""):
+        line, done = line + text.count("\n", done, m.start()), m.start()
+        rows = laid_out(m.group())
+        if rows:
+            before = _TABLE.sub(" ", text[max(0, m.start() - BEFORE) : m.start()]).split("\n")
+            yield " // ".join([x.strip() for x in before if x.strip()][-LINES:]), line, rows
+
+
 def tables_in(text: str | None) -> tuple[list[tuple[str, int, list[list[str]]]], str | None]:
-    """(text before, line, rows) of each table with a row, and what went wrong if anything did."""
-    out = []
+    """The tables of a document, and what went wrong if anything did: such a document has none."""
     try:
-        line = done = 0
-        for m in _TABLE.finditer(text or ""):
-            line, done = line + text.count("\n", done, m.start()), m.start()
-            rows = laid_out(m.group())
-            if rows:
-                before = _TABLE.sub(" ", text[max(0, m.start() - BEFORE) : m.start()]).split("\n")
-                out.append((" // ".join([x.strip() for x in before if x.strip()][-LINES:]), line, rows))
+        return list(tables_of(text)), None
     except Exception as e:  # one unreadable document doesn't stop the others
         return [], f"{type(e).__name__}: {e}"[:200]
-    return out, None
 
 
-_FOUND = StructType([StructField("before", StringType()), StructField("line", IntegerType()), StructField("rows", ArrayType(ArrayType(StringType())))])
-found_tables = F.udf(tables_in, StructType([StructField("tables", ArrayType(_FOUND)), StructField("error", StringType())]), useArrow=True)
+#: Tables that a task hands on at once: a document of any number of them is never held as a whole.
+STEP = 64
+#: Characters of a document that say what it is.
+HEAD = 4000
 
 
-def table_rows(docs: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, table_no, context, line, row, cells) of every table; a null document has none.
+def parsed(docs: DataFrame, key: str, html: str, seen=None) -> DataFrame:
+    """Every document read once, as rows that are written: (key, table_no, before, line, rows) of each table, and for the document
+    itself a row with table_no null, n_tables, error and its head.
+
+    Tables stream out as they are found. `seen`, an accumulator, counts the documents read.
+    """
+    kind = docs.select(key).schema[0].dataType.simpleString()
+    grid = pa.list_(pa.list_(pa.string()))
+    names = [key, "table_no", "before", "line", "rows", "n_tables", "error", "head"]
+
+    def run(batches):
+        for b in batches:
+            ids = b.column(0)
+            kinds = (ids.type, pa.int32(), pa.string(), pa.int32(), grid, pa.int32(), pa.string(), pa.string())
+
+            def out(rows, kinds=kinds):
+                return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+            rows = []
+            for k, text in zip(ids.to_pylist(), b.column(1), strict=True):
+                text, n, error = text.as_py(), 0, None
+                if seen is not None:
+                    seen.add(1)
+                try:
+                    for before, line, cells in tables_of(text):
+                        rows.append((k, n, before, line, cells, None, None, None))
+                        n += 1
+                        if len(rows) >= STEP:
+                            yield out(rows)
+                            rows = []
+                except Exception as e:  # one unreadable document doesn't stop the others
+                    n, error = 0, f"{type(e).__name__}: {e}"[:200]
+                rows.append((k, None, None, None, None, n, error, (text or "")[:HEAD]))
+            if rows:
+                yield out(rows)
+
+    x = docs.select(key, html).mapInArrow(run, f"`{key}` {kind}, table_no int, before string, line int, rows array<array<string>>, n_tables int, error string, head string")
+    return saved(x)
+
+
+def rows_of(tables: DataFrame, key: str) -> DataFrame:
+    """(key, table_no, context, line, row, cells) of parsed(); a document with an error has none.
 
     `context` is the folded end of the text before the table, outside other tables: its last LINES lines that aren't blank.
     """
-    found = docs.select(key, F.posexplode(found_tables(html)["tables"]).alias("table_no", "t"))
-    return found.select(key, "table_no", fold(F.col("t.before")).alias("context"), F.col("t.line").alias("line"), F.posexplode("t.rows").alias("row", "cells"))
+    bad = tables.where("table_no is null and error is not null").select(F.col(key).alias("_bad")).distinct()
+    good = tables.where("table_no is not null").join(bad, F.col(key).eqNullSafe(F.col("_bad")), "left_anti")
+    return good.select(key, "table_no", fold(F.col("before")).alias("context"), "line", F.posexplode("rows").alias("row", "cells"))
+
+
+def table_rows(docs: DataFrame, key: str, html: str) -> DataFrame:
+    """rows_of() the documents' tables; a null document has none."""
+    return rows_of(parsed(docs, key, html), key)
 
 
 def _is_code(x: Column) -> Column:
@@ -264,9 +317,9 @@ def identities(lines: DataFrame, key: str) -> DataFrame:
 
 def reports(docs: DataFrame, key: str, html: str) -> DataFrame:
     """A row for each document: counts, flags, identities, label shares, units and number of lines of its statements, error."""
-    found = docs.select(key, F.substring(html, 1, 4000).alias("head"), found_tables(html).alias("f"))
-    base = found.select(key, fold(F.coalesce("head", F.lit(""))).alias("head"), F.coalesce(F.size("f.tables"), F.lit(0)).alias("n_tables"), F.col("f.error").alias("error"))
-    coded = coded_rows(table_rows(docs, key, html), key)
+    tables = parsed(docs, key, html)
+    base = tables.where("table_no is null").select(key, fold(F.col("head")).alias("head"), "n_tables", "error")
+    coded = saved(coded_rows(rows_of(tables, key), key))
     tables = statement_tables(coded, key)
     lines = lines_of(coded, tables, key)
     # titles in the order in which the kinds of statement begin

@@ -110,3 +110,20 @@ def test_layout(spark):
 def test_packed(spark):
     rows = spark.createDataFrame([(["a b", "c d", "e"],), ([],), (["a b c d e f"],)], "r array<string>")
     assert [r.p for r in rows.select(layout.packed(F.col("r"), 3).alias("p")).collect()] == [[0, 1, 1], [], [0]]
+
+
+def test_each_document_is_read_once(spark):
+    docs = spark.createDataFrame([(k, f"Balance sheet\n{_table(('Code', 'Item', '2024', '2023'), *[(c, 'line', '2,000', '1,000') for c in ('100', '200', '270')])}" * 3) for k in range(20)] + [(99, None)], "id long, html string").repartition(3)
+    read = spark.sparkContext.accumulator(0)
+    p = statements.parsed(docs, "id", "html", read)
+    assert read.value == 21
+    assert statements.rows_of(p, "id").select("id", "table_no").distinct().count() == 60 and p.where("table_no is null").count() == 21
+    lines = statements.lines_of(c := statements.coded_rows(statements.rows_of(p, "id"), "id"), statements.statement_tables(c, "id"), "id")
+    assert lines.count() == 60 and read.value == 21  # the written rows are read, not the documents
+
+
+def test_a_document_of_very_many_tables_streams(spark):
+    many = 3 * statements.STEP + 5
+    docs = spark.createDataFrame([(1, _table(("a", "b")) * many), (2, "x"), (3, _table(("c",)))], "id long, html string")
+    got = statements.rows_of(statements.parsed(docs, "id", "html"), "id")
+    assert sorted(r.table_no for r in got.where("id = 1").collect()) == list(range(many)) and got.where("id = 3").count() == 1
