@@ -444,12 +444,41 @@ def test_toxicity_learns_a_word(spark, empty):
 
 def test_windows_cover_all_words():
     at = np.array([0, 0, 10, 74, 1000])
-    row, first, length = toxicity.windows(at, 64, 48)
+    row, first, length = toxicity.windows(at)
     for k in range(4):
         seen = {x for r, f, n in zip(row, first, length, strict=True) if r == k for x in range(f, f + n)}
         assert seen == set(range(at[k], at[k + 1]))
 
 
+def test_forward_pass_step_by_step():
+    """Logits of whole windows against one window, one word and one number at a time."""
+    net = toxicity.Network(seed=9)
+    r = np.random.default_rng(4)
+    for name in ("u", "w", "bf", "bb"):
+        net.p[name] = r.standard_normal(net.p[name].shape).astype(np.float32)
+    x, index, length = r.standard_normal((6, toxicity.DW + toxicity.DC)).astype(np.float32), r.integers(0, 6, (5, 4)), np.array([5, 3, 1, 4])
+    got = net.forward(x, index, length)
+    sig = lambda v: 1 / (1 + math.exp(-v))
+    H = toxicity.H
+    for j, n in enumerate(length.tolist()):
+        words = [x[index[t, j]].astype(float) for t in range(n)]
+        states = {}
+        for side, order in (("f", range(n)), ("b", range(n - 1, -1, -1))):
+            W, U, b = (net.p[f"{k}{side}"].astype(float) for k in "WUb")
+            h = [0.0] * H
+            for t in order:
+                a = [sum(words[t][i] * W[i, k] for i in range(len(words[t]))) + b[k] for k in range(3 * H)]
+                g = [sum(h[i] * U[i, k] for i in range(H)) for k in range(3 * H)]
+                z, gate = [sig(a[k] + g[k]) for k in range(H)], [sig(a[H + k] + g[H + k]) for k in range(H)]
+                c = [math.tanh(a[2 * H + k] + gate[k] * g[2 * H + k]) for k in range(H)]
+                h = [z[k] * h[k] + (1 - z[k]) * c[k] for k in range(H)]
+                states[side, t] = h
+        both = [states["f", t] + states["b", t] for t in range(n)]
+        weight = [math.exp(sum(v * float(u) for v, u in zip(s, net.p["u"]))) for s in both]
+        pooled = [sum(w * s[k] for w, s in zip(weight, both)) / sum(weight) for k in range(2 * H)]
+        assert got[j] == pytest.approx(sum(v * float(w) for v, w in zip(pooled, net.p["w"])) + float(net.p["c"][0]), abs=1e-4)
+
+
 def test_gradients():
     net = toxicity.Network()
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
