@@ -227,20 +227,23 @@ def named(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.unpivot(["entity", "year"], columns, "name", "value").where("value is not null")
 
 
-def sector_positions(figures: DataFrame) -> DataFrame:
-    """entity, year, m_pct_in_sector, accruals_pct_in_sector of usable rows(entity, year, sector, usable, m_score, accruals) with a score."""
+def sector_positions(figures: DataFrame, places: int | None = None) -> DataFrame:
+    """entity, year, m_pct_in_sector, accruals_pct_in_sector of usable rows(entity, year, sector, usable, m_score, accruals) with a score.
+
+    `places` rounds figures before they are ranked, for those to whom the last bits of a sum are no difference.
+    """
     scored = figures.where(holds(F.col("usable")) & F.col("m_score").isNotNull())
-    # the last bits of a sum are no difference between entities
-    one = lambda c, out: W.with_ranks(scored.select("entity", "year", "sector", F.round(c, 9).alias(c)), c, ["sector", "year"]).select("entity", "year", F.col("pct").alias(out))
+    ranked = lambda c: (F.col(c) if places is None else F.round(c, places)).alias(c)
+    one = lambda c, out: W.with_ranks(scored.select("entity", "year", "sector", ranked(c)), c, ["sector", "year"]).select("entity", "year", F.col("pct").alias(out))
     return one("m_score", "m_pct_in_sector").join(one("accruals", "accruals_pct_in_sector"), ["entity", "year"], "left")
 
 
-def serving(selected: DataFrame, facts: DataFrame, rows: DataFrame, table: DataFrame) -> dict[str, DataFrame]:
+def serving(selected: DataFrame, facts: DataFrame, rows: DataFrame, table: DataFrame, places: int | None = None) -> dict[str, DataFrame]:
     """The tables that are searched: reports, fundamentals, statement_lines, metrics (what models see) and ratios (what readers see)."""
     units = selected.select("file", "entity", "year", F.explode(F.array(*[F.struct(F.lit(s).alias("statement"), F.coalesce(F.col(f"unit_{s}"), F.lit(1.0)).alias("unit")) for s in ("BS", "IS", "CF")])).alias("u")).select("file", "entity", "year", "u.*")
     lines = facts.drop("unit").join(units, ["file", "statement"])
     true = with_ratios(rows)
-    positions = sector_positions(true.select("entity", "year", "m_score", "accruals").join(table.select("entity", "year", "usable", "sector"), ["entity", "year"]))
+    positions = sector_positions(true.select("entity", "year", "m_score", "accruals").join(table.select("entity", "year", "usable", "sector"), ["entity", "year"]), places)
     return {
         "reports": selected.select("entity", "year", "file", "scope", "bs_ok", "is_ok", "cf_ok").join(table.select("entity", "year", "usable"), ["entity", "year"], "left"),
         "fundamentals": long(rows, list(AMOUNTS)),
