@@ -193,7 +193,7 @@ def test_quality_features_one_by_one():
     alone = np.concatenate([quality.features(*T.buffers(pa.array([t]))) for t in texts])
     assert np.allclose(quality.features(*T.buffers(pa.array(texts))), alone)
     named = [dict(zip(quality.FEATURES, x)) for x in alone]
-    assert named[0]["log_words"] == pytest.approx(math.log(4)) and named[0]["upper"] == pytest.approx(1 / 4) and named[0]["digit"] == pytest.approx(1 / 7)
+    assert named[0]["log_words"] == pytest.approx(math.log(4)) and named[0]["upper"] == pytest.approx(1 / 4) and named[0]["digit"] == pytest.approx(1 / 6)
     assert named[0]["marked_words"] == pytest.approx(1 / 3) and named[5]["alone_marks"] == pytest.approx(1 / 2)
     assert named[2]["distinct_words"] == pytest.approx(3 / 9) and named[2]["repeats_last"] == pytest.approx(4 / 9) and named[2]["distinct_lines"] == pytest.approx(2 / 3)
     assert named[2]["longest_run"] == pytest.approx(math.log1p(3))
