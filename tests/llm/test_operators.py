@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -552,6 +553,53 @@ def test_cue_lines_of_the_tables(spark):
     assert {(r.doc_id, r.license) for r in licenses.licenses(spark.createDataFrame(full, "doc_id long, text string")).collect()} == {(1, "Proprietary"), (2, "All-rights-reserved")}
 
 
+def test_licenses_of_files_and_whole_texts():
+    scanner, prose = licenses.Scanner(), "and the river ran past the old mill where nobody had lived for years " * 10
+    for name, t in [*licenses.TEMPLATES.items(), *licenses.TEXTS]:
+        w = t.split()
+        comment = "/*\n" + "\n".join(" * " + " ".join(w[a : a + 9]) for a in range(0, len(w), 9)) + "\n */\n"
+        for x in (prose + t + " " + prose, comment + prose):
+            assert [(found, n) for found, _, n, _ in scanner.scan(x)] == [(name, 0)], t
+    one = lambda t: [x[0] for x in scanner.scan(t)]
+    assert one("// SPDX-License-Identifier: GPL-3.0-or-later") == ["GPL-3.0"] and one("# SPDX-License-Identifier: LGPL-3.0") == ["LGPL-3.0"]
+    assert one("Released under the Apache License, Version 2.0.") == ["Apache-2.0"] and one("Distributed under the MIT license") == ["MIT"]
+    assert one("Released under the BSD License.") == one("Released under the Eclipse License") == one("SPDX-License-Identifier: Other") == []
+
+
+def test_licenses_by_brute_force():
+    """The template found is the one with fewest differences over all windows of a text, laid on every template."""
+    scanner, rng = licenses.Scanner(), random.Random(5)
+    short = [k for k, w in enumerate(scanner.words) if len(w) <= 24]
+    filler = "and the river ran past the old mill where nobody had lived for years".split()
+    found = missed = 0
+    for k in short * 2:
+        t = [x.lower() if rng.random() < 0.5 else x for x in licenses._WORD.findall([*licenses.TEMPLATES.values(), *(t for _, t in licenses.TEXTS)][k])]
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(t))
+            if not re.search(licenses.CUE, t[at]):
+                t[at : at + rng.randrange(2)] = rng.choice([[], ["river"]])
+        text = " ".join(filler + t + filler)
+        words, least = licenses.wording(text), {}
+        for j in short:
+            n = len(scanner.words[j])
+            more = int(licenses.DIFFERENT * n)
+            for a in range(len(words)):
+                different, fixed, x, y = licenses.differences(scanner.words[j], words[max(0, a - more) : a + n + more])
+                if y and not fixed and different <= licenses.DIFFERENT * n:
+                    least[j] = min(least.get(j, different), different)
+        got = scanner.scan(text)
+        if not least:
+            assert got == [], text
+            missed += 1
+            continue
+        # of those with fewest differences, unless it lies inside a longer one
+        (name, _, different, _) = got[0]
+        assert len(got) == 1 and any(scanner.names[j] == name and n == different for j, n in least.items()), (text, got, least)
+        assert different <= min(n for j, n in least.items() if len(scanner.words[j]) == max(len(scanner.words[i]) for i in least)), (text, got, least)
+        found += 1
+    assert found > 60 and missed > 5
+
+
 def test_text_scan_matches_regex():
     from ledgerlake.llm import textops as T
 
