@@ -2,7 +2,7 @@
 
 Texts are dealt out by ranges of doc_id, encoded, and gathered into shards of about SHARD ids. In each shard the
 frequent pairs of neighbouring ids become nonterminals, round after round, until no pair occurs LEAST times. A round
-replaces all pairs that occur at least a quarter as often as the commonest one, so rounds grow with the depth of the
+replaces all pairs that occur at least an eighth as often as the commonest one, so rounds grow with the depth of the
 grammar, not with the number of rules. A shard record holds the rules, how many ids each rule expands to, the shortened
 sequence, the place in the ids of every STEP-th symbol of it and the lengths of its documents: a run of ids is found by
 its nearest marked symbol and decoded without the rest. Records are rows of a Parquet table (part, seq, base, n_tokens,
@@ -31,8 +31,8 @@ from .encode import pieces
 SHARD, LEAST, STEP = 2_000_000, 24, 1024
 #: A round takes the pairs that occur at least this part as often as those of the round before.
 FALL = 8
-_MAGIC, _BITS = b"RPR2", 19
-_SYMBOL = 26  # bits of a symbol in the key of a pair
+_MAGIC, _BITS = b"RPR3", 19
+_SYMBOL = 31  # bits of a symbol in the key of a pair: more than a shard can have, since no text has 2^31 bytes
 
 
 def _slots(a: np.ndarray, b: np.ndarray, seed: int) -> np.ndarray:
@@ -78,7 +78,9 @@ def compress(ids: np.ndarray, vocabulary: int, least: int = LEAST) -> tuple[np.n
     """
     s, rules, top, seed, fresh = ids.astype(np.uint32), [], vocabulary, 0, None
     level = max(least, int(np.bincount(_slots(s[:-1], s[1:], 0)).max()) // FALL) if len(s) > 1 else least
-    while len(s) > least and top < (1 << _SYMBOL) - len(s):
+    while len(s) > least:
+        if top + len(s) >= 1 << _SYMBOL:
+            raise ValueError("too many symbols for one shard")
         at = None
         if fresh is not None:
             new = s >= fresh
@@ -143,14 +145,15 @@ def spans(rules: np.ndarray, vocabulary: int) -> np.ndarray:
     return np.array(n, np.int64)
 
 
-def pack(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, vocabulary: int) -> bytes:
+def pack(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, vocabulary: int, nulls: int = 0) -> bytes:
+    """A payload. The first `nulls` of the doc_ids are null, whatever stands there."""
     rules, s = compress(ids, vocabulary)
     n = spans(rules, vocabulary)
     size = np.append(np.ones(vocabulary, np.int64), n)[s]
     marks = (np.cumsum(size) - size)[::STEP]
     wide = "<u2" if vocabulary + len(rules) < 65536 else "<u4"
     parts = [doc_ids.astype("<i8"), lengths.astype("<i8"), rules.astype("<u4"), n.astype("<i8"), marks.astype("<i8"), s.astype(wide)]
-    return _MAGIC + struct.pack("<5Q", vocabulary, len(doc_ids), len(rules), len(s), len(ids)) + b"".join(x.tobytes() for x in parts)
+    return _MAGIC + struct.pack("<6Q", vocabulary, len(doc_ids), nulls, len(rules), len(s), len(ids)) + b"".join(x.tobytes() for x in parts)
 
 
 class Shard:
@@ -159,8 +162,8 @@ class Shard:
     def __init__(self, data: bytes):
         if data[:4] != _MAGIC:
             raise ValueError("not a shard")
-        self.vocabulary, docs, rules, n, self.n_tokens = struct.unpack_from("<5Q", data, 4)
-        at = 44
+        self.vocabulary, docs, self.nulls, rules, n, self.n_tokens = struct.unpack_from("<6Q", data, 4)
+        at = 52
 
         def take(kind: str, count: int) -> np.ndarray:
             nonlocal at
@@ -199,10 +202,6 @@ class Shard:
         return expand(self.rules, s[x:y], self.vocabulary)[skip : skip + length]
 
 
-#: A null doc_id in a shard.
-NO_ID = -(1 << 63)
-
-
 def write_shards(docs: DataFrame, path: str, end_id: int, shard: int = SHARD) -> DataFrame:
     """The shard table of docs(doc_id, text), written to the shared folder; `path` is the tokenizer file."""
     prepare(docs.sparkSession)
@@ -217,7 +216,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int, shard: int = SHARD) ->
         ids, sizes, found, n = [], [], [], 0
 
         def flush():
-            payload = pack(np.array(ids, np.int64), np.array(sizes, np.int64), np.concatenate(found), vocabulary)
+            payload = pack(np.array([i or 0 for i in ids], np.int64), np.array(sizes, np.int64), np.concatenate(found), vocabulary, ids.count(None))
             return pa.record_batch([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([base], pa.int64()), pa.array([n], pa.int64()), pa.array([payload], pa.large_binary())], names=["part", "seq", "base", "n_tokens", "payload"])
 
         for batch in batches:
@@ -225,7 +224,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int, shard: int = SHARD) ->
             for a, b, all_ids, at in coder.column(T.rows_with(batch, "text")):
                 at = at.tolist()
                 for k in range(b - a):
-                    ids.append(NO_ID if doc_ids[a + k] is None else doc_ids[a + k])
+                    ids.append(doc_ids[a + k])  # nulls come first
                     sizes.append(at[k + 1] - at[k] + 1)
                     found += [all_ids[at[k] : at[k + 1]], end]
                     n += sizes[-1]
@@ -254,7 +253,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
                 at = ends - s.lengths
                 crc = [zlib.crc32(ids[a:b]) for a, b in zip(at.tolist(), ends.tolist(), strict=True)]
                 yield pa.record_batch(
-                    [pa.array(s.doc_ids, mask=s.doc_ids == NO_ID), pa.array(at + row["base"] + row["before"]), pa.array(s.lengths), pa.array(crc, pa.int64())],
+                    [pa.array(s.doc_ids, mask=np.arange(len(s.doc_ids)) < s.nulls), pa.array(at + row["base"] + row["before"]), pa.array(s.lengths), pa.array(crc, pa.int64())],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 

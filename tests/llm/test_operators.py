@@ -145,6 +145,14 @@ def test_shards(docs, empty):
     assert repair.read_shards(repair.write_shards(empty, P.path("byte_bpe_50k.json"), 2)).count() == 0
 
 
+def test_shards_keep_null_and_extreme_ids(spark):
+    ids = [None, None, -(1 << 63), -(1 << 63), 0, (1 << 63) - 1]
+    x = spark.createDataFrame([(i, f"text {k}") for k, i in enumerate(ids)], "doc_id long, text string")
+    for shard in (1, 7, 3000):
+        got = repair.read_shards(repair.write_shards(x, P.path("byte_bpe_50k.json"), 2, shard=shard)).orderBy("start").collect()
+        assert [r.doc_id for r in got] == ids
+
+
 def test_packing(docs, empty):
     k, _ = coder()
     rows = packing.pack(docs, P.path("byte_bpe_50k.json")).collect()
