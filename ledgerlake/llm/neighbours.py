@@ -111,7 +111,9 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, block: int = BLOCK,
     most = float(v.agg(F.max(F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, c: s + (c / top) * (c / top))))).first()[0])
     blocks, chunks = max(1, math.ceil(sizes["n"] / block)), max(1, math.ceil(sizes["q"] / query_block))
     deal = lambda n, seed: F.pmod(F.xxhash64("vec_id", "x", F.lit(seed)), F.lit(n)).cast("int")
-    data = v.withColumn("block", deal(blocks, 1)).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    # by number in the table just written, so that rows that repeat are dealt out, too
+    row = F.xxhash64("vec_id", F.monotonically_increasing_id())
+    data = v.withColumn("block", F.pmod(row, F.lit(blocks)).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     asked = v.where(F.col("vec_id") % every == 0).withColumn("chunk", deal(chunks, 2)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def cell(left, right):
