@@ -1,6 +1,6 @@
 """Operator 9, a class-based bigram model in the manner of Brown.
 
-1. Training words are counted by 64-bit hash: one packed block for each task and bucket, summed by bucket.
+1. Training words are counted by 64-bit hash in each batch, then summed by hash.
 2. The FREQUENT commonest words, the core, are assigned to CLASSES classes by exchange: words move to the class that raises the
    likelihood of the class bigrams most, until a sweep moves none. Their bigram counts (at most FREQUENT squared numbers) come from all
    training text.
@@ -166,29 +166,16 @@ def _trains(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
-    """(bucket, hash, c) of words in training rows of docs(text, held_out)."""
-    buckets = partitions(docs.sparkSession)
+    """(hash, c) of words in training rows of docs(text, held_out): counted in each batch, then by a plain aggregation."""
 
     def count(batches):
         for batch in batches:
             train = _trains(batch)
             found = [h[np.repeat(train[a:b], np.diff(at))] for a, b, h, at in _tokens(batch)]
             h, c = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
-            to = h % np.uint64(buckets)
-            order = np.argsort(to, kind="stable")
-            h, c = h[order], c[order].astype(np.int64)
-            cut = np.searchsorted(to[order], np.arange(buckets + 1))
-            some = [k for k in range(buckets) if cut[k] < cut[k + 1]]
-            yield pa.record_batch([pa.array(some, pa.int32()), pa.array([h[cut[k] : cut[k + 1]].tobytes() for k in some], pa.binary()), pa.array([c[cut[k] : cut[k + 1]].astype(np.uint32).tobytes() for k in some], pa.binary())], names=["bucket", "h", "c"])
-
-    def add(part):
-        h = np.concatenate([np.frombuffer(x, np.uint64) for x in part["h"].to_pylist()])
-        c = np.concatenate([np.frombuffer(x, np.uint32) for x in part["c"].to_pylist()])
-        u, back = np.unique(h, return_inverse=True)
-        n = np.bincount(back, weights=c).astype(np.int64)
-        return pa.table({"bucket": pa.array(np.full(len(u), part["bucket"][0].as_py(), np.int32)), "hash": u.view(np.int64), "c": n})
+            yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], names=["hash", "c"])
 
-    return docs.mapInArrow(count, "bucket int, h binary, c binary").groupBy("bucket").applyInArrow(add, "bucket int, hash long, c long")
+    return docs.mapInArrow(count, "hash long, c long").groupBy("hash").agg(F.sum("c").alias("c"))
 
 
 def bigram_counts(docs: DataFrame, index: HashIndex) -> np.ndarray:

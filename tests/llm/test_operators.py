@@ -201,6 +201,14 @@ def test_class_lm(docs, empty, known):
     assert classlm.score(empty).count() == 0
 
 
+def test_class_lm_of_many_repeated_rows(spark):
+    rows = [(1, "one two three")] * 3000 + [(2, None), (3, "one four")]
+    got = classlm.score(spark.createDataFrame(rows, "doc_id long, text string"), frequent=2).collect()
+    train = sum(4 if i == 1 else len((t or "").split()) + 1 for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2)
+    assert len(got) == len(rows) and {r.train_tokens for r in got} == {train}
+    assert len({(r.base_score, r.score) for r in got if r.doc_id == 1}) == 1
+
+
 def test_exchange_finds_two_classes():
     a = np.zeros((6, 6))
     a[np.ix_([0, 1], [2, 3])] = 50
@@ -262,6 +270,19 @@ def test_neighbours(spark):
     assert neighbours.search(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_rows_that_repeat_are_dealt_over_blocks(spark):
+    r = np.random.default_rng(3)
+    v = r.standard_normal((300, 8))
+    rows = [(k, x.tolist()) for k, x in enumerate(v)] + [(7, v[7].tolist())] * 400
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=50).toPandas()
+    assert set(got.query_id) == set(range(0, 300, 20)) and (got.groupby("query_id")["rank"].max() == 20).all()
+    for q in range(0, 300, 20):
+        # every copy is a candidate of its own: they take all places behind the nearer ones
+        nearer = [i for i in range(300) if i != q and v[q] @ v[i] > v[q] @ v[7]]
+        if len(nearer) < 20:
+            assert (got[got.query_id == q].vec_id == 7).sum() >= 20 - len(nearer)
+
+
 def test_equal_vectors_are_in_the_order_of_their_ids(spark):
     r = np.random.default_rng(6)
     v = r.standard_normal((900, 24))
@@ -515,6 +536,19 @@ def test_language(spark):
     assert all(0 < r.confidence <= 1 for r in got.values())
 
 
+def test_language_of_repeated_rows_extra_columns_and_empty_tables(spark):
+    en, de = "the house and the garden with the other people ", "das haus und der garten mit den anderen leuten "
+    train = spark.createDataFrame([(k, (en if k % 2 else de) * 5, "en" if k % 2 else "de", 0.5) for k in range(40)], "doc_id long, text string, lang string, lang_score double")
+    names, model = language.fit(train)
+    pages = [(1, None, "<p>" + de * 500, 1)] * 50 + [(2, None, "<p>" + en, 2)]
+    x = spark.createDataFrame(pages, "page_id long, url string, html string, text int")
+    got = Counter((r.page_id, r.lang) for r in language.identify(language.page_rows(x), names, model).collect())
+    assert got == {(1, "de"): 50, (2, "en"): 1}
+    assert language.identify(language.page_rows(x.limit(0)), names, model).count() == 0
+    none = language.fit(train.limit(0))
+    assert none[0] == [] and {r.lang for r in language.identify(language.page_rows(x), *none).collect()} == {"und"}
+
+
 def test_language_has_a_model_of_every_language(spark):
     r = np.random.default_rng(4)
     names = [f"l{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(40)]
