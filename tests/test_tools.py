@@ -114,3 +114,13 @@ def test_figures(spark):
     assert O.bounds("recv_minus_rev_g") == (-0.95, 5) and O.bounds("gross_margin_chg") == (-1, 1) and O.bounds("m_score") is None and O.bounds("payout") == (0, 50)
     high = df.withColumn("st_debt_prev", F.lit(0.1)).withColumn("lt_debt_prev", F.lit(0.0))
     assert O.with_ratios(high).first().debt_g > 1000 and O.clipped(O.with_ratios(high), O.names()).first().debt_g == 5.0
+
+
+def test_m_score_adds_in_the_order_of_its_definition(spark):
+    fields = [f + s for f in O.AMOUNTS for s in ("", "_prev")]
+    made = [(f"E{i}", 2020, *[float(100 + (i * 37 + k * 61) % 211) for k in range(len(fields))]) for i in range(200)]
+    df = O.with_ratios(spark.createDataFrame(made, "entity string, year int, " + ", ".join(f"{f} double" for f in fields)))
+    index = lambda v: 1.0 if v is None else max(0.0, min(10.0, v))
+    rows = df.where("m_score is not null").collect()
+    want = [-4.84 + 0.92 * index(r.dsri) + 0.528 * index(r.gmi) + 0.404 * index(r.aqi) + 0.892 * index(r.sgi) + 0.115 * index(r.depi) - 0.172 * index(r.sgai) + 4.679 * max(-1.0, min(1.0, r.tata)) - 0.327 * index(r.lvgi) for r in rows]
+    assert len(rows) > 100 and [r.m_score for r in rows] == want  # to the last bit, so equal scores tie as they do in SQL
