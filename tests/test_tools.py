@@ -124,3 +124,14 @@ def test_m_score_adds_in_the_order_of_its_definition(spark):
     rows = df.where("m_score is not null").collect()
     want = [-4.84 + 0.92 * index(r.dsri) + 0.528 * index(r.gmi) + 0.404 * index(r.aqi) + 0.892 * index(r.sgi) + 0.115 * index(r.depi) - 0.172 * index(r.sgai) + 4.679 * max(-1.0, min(1.0, r.tata)) - 0.327 * index(r.lvgi) for r in rows]
     assert len(rows) > 100 and [r.m_score for r in rows] == want  # to the last bit, so equal scores tie as they do in SQL
+
+
+def test_printed_lines_need_no_panel(spark, monkeypatch):
+    from ledgerlake.plans import company
+
+    def unused(*_):
+        raise AssertionError("wide rows and the panel aren't needed")
+
+    monkeypatch.setattr(company, "rows", unused)
+    monkeypatch.setattr(company, "table", unused)
+    assert company.statement_amounts(spark, "/root/testdata/sf0.001").count() == 30
