@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import claims as R
 from ..operators import search as S
-from ..sources.tables import parquet, scratch
+from ..sources.tables import parquet, saved, scratch
 from .retrieval import _TOKENS, PLACES
 
 #: Companies that documents are dealt to, and the years of their reports.
@@ -142,12 +142,12 @@ def cited_sources(spark, d):
     """The numbered sources of each report, as they are printed."""
     kept = _checked(spark, d)[0]
     e = evidence(spark, d)
-    return R.numbered(kept).join(e, "id").select("report", "number", "id", R.citation(F.col("entity"), F.col("year"), F.col("page"), "en").alias("source"))
+    return R.numbered(kept).join(R.large(e), "id").select("report", "number", "id", R.citation(F.col("entity"), F.col("year"), F.col("page"), "en").alias("source"))
 
 
 def rendered_reports(spark, d):
     """Whole reports in Markdown: claims, sources, notes and how the claims stand."""
-    kept, _ = _checked(spark, d)
+    kept = saved(_checked(spark, d)[0])
     a = kept.select("report").distinct().select("report", F.lit(0).alias("pos"), F.lit("1").alias("entity"), F.lit(2023).alias("start_year"), F.lit(2024).alias("end_year"))
     notes = a.where("report % 2 = 1").select("report", "entity", F.lit("figures in billions").alias("note"))
     topics = spark.createDataFrame([], "report long, id string, topic string, rank int")
