@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerlake.functions.columns import fold
 from ledgerlake.operators import fundamentals as O
 from ledgerlake.operators import tools as T
 
@@ -135,3 +136,34 @@ def test_printed_lines_need_no_panel(spark, monkeypatch):
     monkeypatch.setattr(company, "rows", unused)
     monkeypatch.setattr(company, "table", unused)
     assert company.statement_amounts(spark, "/root/testdata/sf0.001").count() == 30
+
+
+def _side_by_side(spark):
+    """Lines of three reports, one by one and as arrays: a whole one, one with gaps and a null label, one without lines."""
+    from ledgerlake.operators import statements as T
+
+    lines = [("a", "BS", "100", "Tài sản ngắn hạn", 7.0, 6.0), ("a", "BS", "200", "Tài sản  dài hạn", 5.0, None), ("a", "BS", "270", "TỔNG CỘNG TÀI SẢN", 12.0, 11.0), ("a", "BS", "440", "Tổng nguồn vốn", 13.0, 11.0), ("a", "IS", "10", "Doanh thu thuần", 9.0, 8.0), ("a", "IS", "25", "Chi phí quản lý", 1.0, 2.0), ("a", "IS", "24", "Chi phí bán hàng", 3.0, 4.0), ("b", "IS", "10", None, 5.0, 5.0), ("b", "IS", "25", "Chi phí bán hàng", None, 6.0), ("b", "IS", "26", "Chi phí quản lý", -7.0, 7.0), ("b", "CF", "20", "Lưu chuyển tiền từ hoạt động kinh doanh", 2.0, 2.0)]
+    facts = spark.createDataFrame(lines, "file string, statement string, code string, label string, cur double, prev double")
+    parts = facts.groupBy("file").agg(F.collect_list(F.struct(T.place(F.col("statement"), F.col("code")).alias("p"), fold(F.col("label")).alias("l"), "cur", "prev")).alias("x"))
+    arrays = parts.select("file", *[F.col(f"x.{c}").alias(n) for c, n in zip(("p", "l", "cur", "prev"), T.LINE_ARRAYS, strict=True)])
+    return T, facts, arrays
+
+
+def test_lines_as_arrays_are_checked_as_lines_without_a_shuffle(spark):
+    T, facts, arrays = _side_by_side(spark)
+    got = T.checks_within(arrays)
+    assert got.columns == T.checks(facts, "file").columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, T.checks(facts, "file").collect()), key=str)
+    one = spark.range(1).select(F.lit("a").alias("file"), F.array(F.lit("IS 10")).alias("places"), F.array(F.lit("doanh thu thuan")).alias("labels"), F.array(F.col("id").cast("double")).alias("currents"), F.array(F.lit(1.0)).alias("priors"))
+    assert "Exchange" not in T.checks_within(one)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_wide_rows_of_arrays_are_those_of_lines(spark):
+    T, facts, arrays = _side_by_side(spark)
+    chosen = spark.createDataFrame([(1, 2020, "a"), (1, 2021, "b"), (2, 2020, "c")], "entity long, year int, file string").select("*", F.lit("single").alias("scope"), F.lit(False).alias("english"), *[F.lit(True).alias(c) for c in ("bs_ok", "is_ok", "cf_ok")], *[F.lit(2.0).alias(f"unit_{k}") for k in ("BS", "IS", "CF")])
+    got = {r.file: r for r in O.wide_within(chosen.join(arrays, "file", "left")).collect()}
+    assert got == {r.file: r for r in O.wide(facts, chosen).collect()}
+    a, b, c = (got[k] for k in "abc")
+    assert (a.selling_exp, a.admin_exp, a.total_assets, a.total_assets_prev) == (6.0, 2.0, 24.0, 22.0)  # 24 sells where 25 administers
+    assert (b.selling_exp, b.selling_exp_prev, b.admin_exp, b.revenue) == (None, 12.0, 14.0, None)  # the first code that fits counts, even where its amount is missing
+    assert c.revenue is None and c.inventory == 0.0
