@@ -167,3 +167,14 @@ def test_wide_rows_of_arrays_are_those_of_lines(spark):
     assert (a.selling_exp, a.admin_exp, a.total_assets, a.total_assets_prev) == (6.0, 2.0, 24.0, 22.0)  # 24 sells where 25 administers
     assert (b.selling_exp, b.selling_exp_prev, b.admin_exp, b.revenue) == (None, 12.0, 14.0, None)  # the first code that fits counts, even where its amount is missing
     assert c.revenue is None and c.inventory == 0.0
+
+
+def test_sets_of_figures_that_share_no_id_are_gathered_without_comparing(spark):
+    from ledgerlake.operators import tools as Q
+
+    row = lambda e, n, v: (e, f"{e}.{n}.2020", n, "2020", v, "x", n, "s")
+    of = lambda rows: spark.createDataFrame(rows, "entity long, id string, name string, period string, value double, unit string, label string, source string")
+    ratios, risk = of([row(1, "m_score", 1.0), row(1, "roe", 2.0)]), of([row(1, "m_score", 1.0), row(1, "debt_g", 3.0)])
+    apart = Q.gathered(ratios, Q.own_signals(risk), apart=True)
+    assert sorted(r.id for r in apart.collect()) == sorted(r.id for r in Q.gathered(ratios, risk).collect()) == ["1.debt_g.2020", "1.m_score.2020", "1.roe.2020"]
+    assert "Exchange" not in apart._jdf.queryExecution().executedPlan().toString()
